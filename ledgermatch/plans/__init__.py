@@ -1,4 +1,5 @@
-from .joins import checked_broadcast, checkpoint_dir, materialize
-from .pipeline import MatchRun, build_open_lines, pair_input, run_match
+"""Plans: join helpers and the composed match (``ledgermatch.plans.pipeline``)."""
 
-__all__ = ["MatchRun", "build_open_lines", "checked_broadcast", "checkpoint_dir", "materialize", "pair_input", "run_match"]
+from .joins import at_most, checked_broadcast, checkpoint_dir, materialize
+
+__all__ = ["at_most", "checked_broadcast", "checkpoint_dir", "materialize"]
