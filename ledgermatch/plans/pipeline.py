@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..config import MatchConfig
-from ..operators.candidates import BlockPlan, candidate_pairs, plan_blocks
+from ..operators.candidates import BlockPlan, candidate_pairs, choose_blocks
 from ..operators.invoices import open_invoice_lines
 from ..operators.offsets import annotate, debit_offsets
 from ..operators.ranking import matched_results, rank_matches
@@ -70,7 +70,7 @@ def run_match(src: Sources, cfg: MatchConfig, use_prematch: bool | None = None,
     tx = normalize_transactions(src.transactions)
     pre = prefilter_transactions(tx, open_lines, cfg)
     sig = pair_input(pre, open_lines, cfg, use_prematch)
-    blocks = plan_blocks(cfg)
+    blocks = choose_blocks(open_lines, cfg)
     pairs = candidate_pairs(sig, open_lines, cfg, blocks)
     scored = at_threshold(scored_transactions(pairs, cfg), cfg)
     if persist:
