@@ -1,0 +1,71 @@
+"""Text/NULL rules (N1, N2, N4, N7, N8) and the invoice token rule (O6)."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgermatch.config import MatchConfig
+from ledgermatch.functions import blank_to_null, concat_text, invoice_token_flag, minus_days, number_text
+
+# Token examples: flagged / not flagged (upper-cased description).
+TOKENS = [
+    ("FI00123", True),
+    ("FI001234", True),
+    ("FI0001234", True),
+    ("FI00O123", True),
+    ("(FI12345)", True),
+    ("INV#FI001234.", True),
+    ("PAYMENT FI001234 RCVD", True),
+    ("FI001234 FISHING1", True),
+    ("FIOOO123", False),
+    ("FISH AND CHIPS", False),
+    ("XFI001234", False),
+    ("FI00012345", False),
+    ("FI 001234", False),
+    ("FISHING1 FI001234", False),
+    ("", False),
+    (None, False),
+]
+
+
+@pytest.mark.parametrize("text,expected", TOKENS)
+def test_token_flag(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "u string")
+    got = df.select(invoice_token_flag(F.col("u"), MatchConfig()).alias("f")).first().f
+    assert got is expected
+
+
+def test_token_flag_configurable(spark):
+    cfg = MatchConfig(token_prefix="INV", token_min_len=4, token_max_len=4, token_min_digits=4)
+    df = spark.createDataFrame([("PAID INV1234",), ("PAID INV12345",), ("PAID FI001234",)], "u string")
+    got = [r.f for r in df.select(invoice_token_flag(F.col("u"), cfg).alias("f")).collect()]
+    assert got == [True, False, False]
+
+
+@pytest.mark.parametrize(
+    "value,text",
+    [("100.50", "100.5"), ("100.00", "100"), ("0.50", ".5"), ("-0.50", "-.5"), ("0.00", "0"),
+     ("10.00", "10"), ("1000.05", "1000.05"), ("-12.30", "-12.3")],
+)
+def test_number_text(spark, value, text):
+    df = spark.createDataFrame([(value,)], "v string").select(F.col("v").cast("decimal(22,2)").alias("v"))
+    assert df.select(number_text(F.col("v")).alias("t")).first().t == text
+
+
+def test_concat_text_null_is_empty(spark):
+    df = spark.createDataFrame([("F1", "2"), (None, "2"), (None, None), ("", "")], "a string, b string")
+    got = [r.t for r in df.select(concat_text(F.col("a"), F.col("b")).alias("t")).collect()]
+    assert got == ["F12", "2", None, None]
+
+
+def test_blank_to_null(spark):
+    df = spark.createDataFrame([("", 1, "x")], "a string, n int, b string")
+    r = blank_to_null(df).first()
+    assert r.a is None and r.n == 1 and r.b == "x"
+
+
+def test_minus_days_keeps_time_of_day(spark):
+    df = spark.createDataFrame([(dt.datetime(2026, 1, 30, 13, 45, 10),)], "d timestamp_ntz")
+    got = df.select(minus_days(F.col("d"), 14).alias("x")).first().x
+    assert got == dt.datetime(2026, 1, 16, 13, 45, 10)
