@@ -1,0 +1,5 @@
+"""Structured Streaming entry points (incremental scoring of new ledger rows)."""
+
+from .incremental import report_from_scored, score_batch, start_incremental_scoring
+
+__all__ = ["report_from_scored", "score_batch", "start_incremental_scoring"]
