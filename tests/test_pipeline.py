@@ -171,3 +171,38 @@ def test_debit_offsets(spark, cfg, scored_schema):
     ann = {r.TranID: (r.DebitMatches, r.DebitDetails)
            for r in annotate(rank_matches(matched_results(sc, cfg)), debit_offsets(sc, cfg), cfg).collect()}
     assert ann == {1: (1, "2026-01-10 - "), 3: (2, "Various"), 7: (None, None)}
+
+
+def test_shuffled_path_gives_same_result(sources, cfg, run):
+    """No broadcast at all (bound 0): every join runs shuffled, same answer."""
+    big = run_match(sources, cfg.with_(broadcast_max_rows=0, skip_redundant_prematch=False))
+    a, b = run.report, big.report
+    assert b.count() == a.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_input_order_does_not_change_report(sources, cfg, run):
+    shuffled = Sources(
+        invoices=sources.invoices.repartition(7),
+        invoice_headers=sources.invoice_headers.repartition(5),
+        invoice_lines=sources.invoice_lines.orderBy(F.rand(7)),
+        transactions=sources.transactions.orderBy(F.rand(11)),
+    )
+    other = run_match(shuffled, cfg, persist=False).report
+    assert other.exceptAll(run.report).count() == 0 and run.report.exceptAll(other).count() == 0
+
+
+def test_quality_checks_hold_on_fixture(sources):
+    from ledgermatch.plans.quality import assert_quality, quality_report
+
+    assert_quality(sources)
+    assert quality_report(sources).count() == 5
+
+
+def test_quality_checks_catch_duplicates(sources):
+    from ledgermatch.plans.quality import quality_report
+
+    dup = Sources(sources.invoices, sources.invoice_headers, sources.invoice_lines,
+                  sources.transactions.unionByName(sources.transactions.limit(3)))
+    got = {r.check: r.violations for r in quality_report(dup).collect()}
+    assert got["transactions.TranID duplicated"] == 3
