@@ -50,6 +50,11 @@ class MatchConfig:
     # Row bound under which a relation derived from the open invoice lines
     # is broadcast; above it the same join runs as a shuffled hash join.
     broadcast_max_rows: int = 2_000_000
+    # ... and bound on rows x estimated row width of a broadcast relation.
+    broadcast_max_bytes: int = 256 * 1024 * 1024
+    # Open lines above this count get their key statistics (used only to
+    # choose the blocking grouping, never to filter) from a seeded sample.
+    stats_max_rows: int = 1_000_000
     # Skip the transaction pre-match when it provably cannot change the
     # result (see ``prematch_is_redundant``).
     skip_redundant_prematch: bool = True

@@ -73,7 +73,7 @@ def open_invoice_lines(
     joins and the windows only ever touch lines of open invoices.
     """
     inv = open_invoices(invoices)
-    keys, _ = checked_broadcast(inv.select("TXTINVOICE").distinct(), cfg.broadcast_max_rows)
+    keys, _ = checked_broadcast(inv.select("TXTINVOICE").distinct(), cfg.broadcast_max_rows, cfg.broadcast_max_bytes)
     hdr = headers.join(keys, "TXTINVOICE", "left_semi").select("TXTINVOICE", "TXTCREATED")
     inv_lines = lines.join(keys, "TXTINVOICE", "left_semi")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def at_most(df: DataFrame, max_rows: int) -> bool:
@@ -16,14 +17,43 @@ def at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Mark ``df`` for broadcast only if its row count is proven small.
+def _type_width(t: T.DataType) -> int:
+    """Spark's default size estimate of a value of type ``t`` (strings: 20)."""
+    if isinstance(t, (T.BooleanType, T.ByteType)):
+        return 1
+    if isinstance(t, T.ShortType):
+        return 2
+    if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(t, T.DecimalType):
+        return 8 if t.precision <= 18 else 16
+    if isinstance(t, T.StructType):
+        return sum(_type_width(f.dataType) for f in t.fields)
+    if isinstance(t, (T.ArrayType, T.MapType)):
+        return 100
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return 20
+    return 8  # long, double, timestamps
 
+
+def row_width(df: DataFrame) -> int:
+    """Estimated bytes per row: per-type default sizes plus a row header."""
+    return 8 + sum(_type_width(f.dataType) for f in df.schema.fields)
+
+
+def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+    """Mark ``df`` for broadcast only if it is proven small.
+
+    The row count is bounded by ``max_rows`` (checked by reading at most
+    ``max_rows + 1`` rows) and rows x estimated row width by ``max_bytes``.
     Above the bound the join stays a shuffled join (sort-merge or shuffled
     hash, with AQE splitting skewed partitions), so nothing unbounded is
     ever shipped to every executor.
     """
-    if at_most(df, max_rows):
+    limit = max_rows
+    if max_bytes is not None:
+        limit = min(limit, max(max_bytes // row_width(df), 0))
+    if at_most(df, limit):
         return F.broadcast(df), True
     return df, False
 
