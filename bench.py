@@ -19,11 +19,10 @@ sys.path.insert(0, ROOT)
 
 from ledgermatch.operators import (  # noqa: E402
     candidate_pairs,
-    normalize_transactions,
-    prefilter_transactions,
     signal_transactions,
 )
 from ledgermatch.operators.scoring import at_threshold, scored_transactions  # noqa: E402
+from ledgermatch.operators.transactions import select_transactions  # noqa: E402
 from ledgermatch.plans.pipeline import build_open_lines, run_match  # noqa: E402
 from ledgermatch.session import local_session  # noqa: E402
 from ledgermatch.sources import derive_sources, fixture_config, read_sources  # noqa: E402
@@ -58,14 +57,14 @@ def main():
     def q_signal_transactions():
         s = load()
         ol = build_open_lines(s, cfg)
-        pre = prefilter_transactions(normalize_transactions(s.transactions), ol, cfg)
+        pre = select_transactions(s.transactions, ol, cfg)
         _sink(signal_transactions(pre, ol, cfg))
         ol.unpersist()
 
     def q_score_pairs():
         s = load()
         ol = build_open_lines(s, cfg)
-        pre = prefilter_transactions(normalize_transactions(s.transactions), ol, cfg)
+        pre = select_transactions(s.transactions, ol, cfg)
         sig = signal_transactions(pre, ol, cfg)
         _sink(at_threshold(scored_transactions(candidate_pairs(sig, ol, cfg), cfg), cfg))
         ol.unpersist()

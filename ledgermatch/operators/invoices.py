@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.oracle import concat_text, number_text
+from ..functions.oracle import blank_to_null, concat_text, number_text
 from ..plans.joins import checked_broadcast
 
 OPEN_LINE_COLUMNS = (
@@ -32,6 +32,7 @@ def fund_totals(lines: DataFrame, cfg: MatchConfig) -> DataFrame:
     A plain grouped sum: Spark adds a map-side partial aggregate, so a hot
     invoice or fund is combined before the shuffle.
     """
+    lines = blank_to_null(lines.select("TXTINVOICE", "FUND", "CURAMOUNT"))
     return lines.groupBy("TXTINVOICE", "FUND").agg(
         F.sum("CURAMOUNT").cast(cfg.total_type).alias("PERFUNDTOTAL")
     )
@@ -72,10 +73,10 @@ def open_invoice_lines(
     semi-join the header and line tables first, so the fund aggregate, the
     joins and the windows only ever touch lines of open invoices.
     """
-    inv = open_invoices(invoices)
+    inv = blank_to_null(open_invoices(invoices))
     keys, _ = checked_broadcast(inv.select("TXTINVOICE").distinct(), cfg.broadcast_max_rows, cfg.broadcast_max_bytes)
-    hdr = headers.join(keys, "TXTINVOICE", "left_semi").select("TXTINVOICE", "TXTCREATED")
-    inv_lines = lines.join(keys, "TXTINVOICE", "left_semi")
+    hdr = blank_to_null(headers.join(keys, "TXTINVOICE", "left_semi").select("TXTINVOICE", "TXTCREATED"))
+    inv_lines = blank_to_null(lines.join(keys, "TXTINVOICE", "left_semi"))
 
     funds = fund_layout(fund_totals(inv_lines, cfg))
     ln = inv_lines.select(

@@ -50,17 +50,29 @@ def date_floor(open_lines: DataFrame, cfg: MatchConfig) -> _dt.datetime | None:
 
 
 def prefilter_transactions(tx: DataFrame, open_lines: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """O5: rule class allowed, account not excluded, date not before the floor."""
+    """O5: rule class allowed, account not excluded, date not before the floor.
+
+    Gives the same rows on the raw ledger and on the normalised one ('' and
+    NULL behave alike in every predicate), so apply it to the raw scan
+    first: then all three predicates reach the Parquet reader
+    (``PushedFilters``) and are not hidden behind the '' -> NULL rewrite.
+    """
     floor = date_floor(open_lines, cfg)
     if floor is None:
         return tx.filter(F.lit(False))
-    cond = F.col("RUCL_CODE").isin(list(cfg.rule_classes)) & (F.col("TRANDATE") >= ts_literal(floor))
+    rules = [r for r in cfg.rule_classes if r]
+    cond = F.col("RUCL_CODE").isin(rules) & (F.col("TRANDATE") >= ts_literal(floor))
     if cfg.excluded_accounts:
-        # NOT IN drops NULL accounts too, as in SQL.
-        cond = cond & ~F.col("ACCT").isin(list(cfg.excluded_accounts))
+        # NOT IN drops NULL accounts too, as in SQL; an empty account is NULL.
+        cond = cond & (F.col("ACCT") != "") & ~F.col("ACCT").isin(list(cfg.excluded_accounts))
     return tx.filter(cond)
 
 
+def select_transactions(raw: DataFrame, open_lines: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """O4 + O5: pre-filter the raw ledger (pushed down), then normalise."""
+    return normalize_transactions(prefilter_transactions(raw, open_lines, cfg))
+
+
 def with_token_flag(tx: DataFrame, cfg: MatchConfig) -> DataFrame:
     """O6: ``fi_flag`` = the description holds an invoice-like token.
 

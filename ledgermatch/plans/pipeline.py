@@ -25,7 +25,7 @@ from ..operators.ranking import matched_results, rank_matches
 from ..operators.report import match_report
 from ..operators.scoring import at_threshold, scored_transactions
 from ..operators.signals import signal_transactions
-from ..operators.transactions import normalize_transactions, prefilter_transactions, with_token_flag
+from ..operators.transactions import select_transactions, with_token_flag
 from ..sources.tables import Sources
 from .joins import materialize
 
@@ -67,8 +67,7 @@ def pair_input(prefiltered: DataFrame, open_lines: DataFrame, cfg: MatchConfig,
 
 def run_match(src: Sources, cfg: MatchConfig, use_prematch: bool | None = None, persist: bool = True) -> MatchRun:
     open_lines = build_open_lines(src, cfg, persist)
-    tx = normalize_transactions(src.transactions)
-    pre = prefilter_transactions(tx, open_lines, cfg)
+    pre = select_transactions(src.transactions, open_lines, cfg)
     sig = pair_input(pre, open_lines, cfg, use_prematch)
     blocks = choose_blocks(open_lines, cfg)
     pairs = candidate_pairs(sig, open_lines, cfg, blocks)

@@ -3,8 +3,11 @@
 Four relations feed the matcher: ``invoices`` (one row per invoice),
 ``invoice_headers`` (creator of each invoice), ``invoice_lines`` (accounting
 lines) and ``transactions`` (the ledger).  They are read as DataFrames with
-an explicit schema; every string column has '' turned into NULL and money
-columns are cast to exact decimals.
+an explicit schema and money columns are cast to exact decimals.  Empty
+text is turned into NULL by the operators (``normalize_transactions`` for
+the ledger, after the pushed-down pre-filter; ``open_invoice_lines`` and
+``fund_totals`` for the invoice side), so predicates on raw columns still
+reach the Parquet reader.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.oracle import blank_to_null
 
 MONEY = "decimal(12,2)"
 
@@ -61,7 +63,7 @@ class Sources:
 
 
 def conform(df: DataFrame, table: str, cfg: MatchConfig | None = None) -> DataFrame:
-    """Project ``df`` onto the table's schema: column order, types, '' -> NULL."""
+    """Project ``df`` onto the table's schema: column order and types."""
     spark = df.sparkSession
     schema = spark.createDataFrame([], SCHEMAS[table]).schema
     money = cfg.money_type if cfg else MONEY
@@ -69,7 +71,7 @@ def conform(df: DataFrame, table: str, cfg: MatchConfig | None = None) -> DataFr
     for f in schema.fields:
         typ = money if f.name in MONEY_COLUMNS.get(table, ()) else f.dataType.simpleString()
         cols.append(F.col(f.name).cast(typ).alias(f.name))
-    return blank_to_null(df.select(*cols))
+    return df.select(*cols)
 
 
 def read_sources(

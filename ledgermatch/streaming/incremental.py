@@ -23,13 +23,13 @@ from ..operators.offsets import annotate, debit_offsets
 from ..operators.ranking import matched_results, rank_matches
 from ..operators.report import match_report
 from ..operators.scoring import SCORED_COLUMNS, at_threshold, scored_transactions
-from ..operators.transactions import normalize_transactions, prefilter_transactions
+from ..operators.transactions import select_transactions
 from ..plans.pipeline import pair_input
 
 
 def score_batch(tx: DataFrame, open_lines: DataFrame, cfg: MatchConfig, blocks: BlockPlan | None = None) -> DataFrame:
     """Scored pairs (>= threshold) of a set of raw ledger rows."""
-    pre = prefilter_transactions(normalize_transactions(tx), open_lines, cfg)
+    pre = select_transactions(tx, open_lines, cfg)
     sig = pair_input(pre, open_lines, cfg)
     pairs = candidate_pairs(sig, open_lines, cfg, blocks or choose_blocks(open_lines, cfg))
     return at_threshold(scored_transactions(pairs, cfg), cfg)

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgermatch.config import CODE_COLUMNS, MatchConfig
-from ledgermatch.operators import candidate_pairs, normalize_transactions, prefilter_transactions
+from ledgermatch.operators import candidate_pairs
+from ledgermatch.operators.transactions import select_transactions
 from ledgermatch.operators.candidates import plan_blocks, set_partitions
 from ledgermatch.operators.scoring import PAIR_KEY, at_threshold, scored_transactions
 from ledgermatch.plans.literal import literal_pairs
@@ -70,7 +71,7 @@ def test_random_weights_and_costs(weights, t, possible, date, seed):
 
 def _pairs_both_ways(spark, sources, cfg):
     ol = build_open_lines(sources, cfg)
-    pre = prefilter_transactions(normalize_transactions(sources.transactions), ol, cfg)
+    pre = select_transactions(sources.transactions, ol, cfg)
     sig = pair_input(pre, ol, cfg, use_prematch=True)
     cols = [*PAIR_KEY, "InvLineScore"]
     blocked = at_threshold(scored_transactions(candidate_pairs(sig, ol, cfg), cfg), cfg).select(*cols)
@@ -113,14 +114,22 @@ def test_candidate_join_is_broadcast_hash(spark, sources, cfg):
 
 def test_prematch_has_no_nested_loop_join(spark, sources, cfg):
     ol = build_open_lines(sources, cfg)
-    pre = prefilter_transactions(normalize_transactions(sources.transactions), ol, cfg)
+    pre = select_transactions(sources.transactions, ol, cfg)
     plan = _plan_text(pair_input(pre, ol, cfg, use_prematch=True))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
-def test_prefilter_pushes_date_floor_to_scan(spark, sources, cfg):
+def test_prefilter_predicates_reach_the_scan(spark, sources, cfg):
     ol = build_open_lines(sources, cfg)
-    pre = prefilter_transactions(normalize_transactions(sources.transactions), ol, cfg)
-    plan = _plan_text(pre.select("TranID"))
-    assert "GreaterThanOrEqual(TRANDATE" in plan
+    pre = select_transactions(sources.transactions, ol, cfg)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = _plan_text(pre.select("TranID"))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.find("PushedFilters"):]
+    pushed = pushed[: pushed.find("ReadSchema")]
+    assert "GreaterThanOrEqual(TRANDATE" in pushed
+    assert "In(RUCL_CODE" in pushed
+    assert "Not(EqualTo(ACCT,))" in pushed and "ACCT,A11" in pushed
     assert F is not None

@@ -64,11 +64,12 @@ def test_no_open_invoices_gives_empty_report(sources, cfg):
     assert r.report.count() == 0
 
 
-def test_ranking_uses_one_exchange(run):
-    run.ranked.collect()
-    plan = run.ranked._jdf.queryExecution().executedPlan().toString()
+def test_ranking_and_sort_share_one_exchange(run):
+    run.report.collect()
+    plan = run.report._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
-    assert final.count("Exchange hashpartitioning(TranID") == 1
+    assert final.count("Exchange rangepartitioning(TRANDATE") == 1
+    assert "hashpartitioning(TranID" not in final
 
 
 def test_prefilter_excludes_null_and_listed_accounts(run):
