@@ -3,7 +3,9 @@
 The four ledger inputs are first derived from the test tables and written
 as parquet to a fresh scratch folder (timed as ``derive_fixtures``); every
 timed query then reads those tables the way a deployment reads its ledger,
-and runs to completion into Spark's no-op sink.  Prints one JSON line.
+and runs to completion into Spark's no-op sink.  After one untimed warm-up,
+each query runs ``BENCH_REPEATS`` times (default 2) and the fastest run is
+reported.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -77,15 +79,19 @@ def main():
 
     # One untimed warm-up of the end-to-end query (JIT, class loading).
     q_match_report()
+    repeats = max(1, int(os.environ.get("BENCH_REPEATS", "2")))
     for name, fn in (
         ("open_invoice_lines", q_open_invoice_lines),
         ("signal_transactions", q_signal_transactions),
         ("score_pairs", q_score_pairs),
         ("match_report", q_match_report),
     ):
-        t = time.time()
-        fn()
-        times[name] = time.time() - t
+        best = None
+        for _ in range(repeats):
+            t = time.time()
+            fn()
+            best = min(best or float("inf"), time.time() - t)
+        times[name] = best
 
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({

@@ -26,7 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # Fall back from whole-stage codegen only for methods the JIT would
         # refuse to compile (the scoring join generates one such method).
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
-        .config("spark.driver.memory", os.environ.get("LEDGERMATCH_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("LEDGERMATCH_DRIVER_MEMORY", "16g"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
