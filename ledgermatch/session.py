@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -11,8 +12,7 @@ from pyspark.sql import SparkSession
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgermatch") -> SparkSession:
     """A local session with AQE on and the web UI off.
 
-    A checkpoint folder is set only when the session has none (on a cluster
-    the shared folder from ``spark.checkpoint.dir`` is used as is).
+    A checkpoint folder is made only where the session names none.
     """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -36,12 +36,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it.
+
+    Where none is named, a local master gets a temporary one; a cluster has to
+    name its own, since each node would write to its own disk.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
         return current
-    d = tempfile.mkdtemp(prefix="ledgermatch-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(d)
-    return d
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="ledgermatch-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
