@@ -125,16 +125,29 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def row_key(id_col: str) -> Column:
+    """The id as text that is never NULL, so that joins and windows on it share one shuffle."""
+    return F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null"))
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with its columns renamed c0, c1, ... and (_key, _hash) of id and text beside them."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.withColumns({"_key": row_key(id_col), "_hash": text_hash(text_col)}).toDF(*names, "_key", "_hash")
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """One of each repeated (_key, _hash)."""
+    by_row = Window.partitionBy("_key", "_hash").orderBy("_hash")
+    return rows.withColumn("_copy", F.row_number().over(by_row)).filter("_copy = 1").drop("_copy")
+
+
 def semi_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``docs`` whose id and text hash are in ``wanted`` (doc_id, text_hash).
 
     A row that repeats the id and the text comes once.  The wide rows are
     shuffled once, by id and hash, for the join and the numbering alike.
     """
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.withColumn("_hash", text_hash(text_col)).toDF(*names, "_hash")
-    own = names[docs.columns.index(id_col)]
-    wanted = wanted.toDF("_id", "_wanted")
-    hit = plain.join(wanted, plain[own].eqNullSafe(wanted["_id"]) & (plain["_hash"] == wanted["_wanted"]), "left_semi")
-    by_row = Window.partitionBy(own, "_hash").orderBy("_hash")
-    return hit.withColumn("_copy", F.row_number().over(by_row)).filter("_copy = 1").select(*names).toDF(*docs.columns)
+    keys = wanted.select(row_key("doc_id").alias("_key"), F.col("text_hash").alias("_hash"))
+    hit = keyed_rows(docs, id_col, text_col).join(keys, ["_key", "_hash"], "left_semi")
+    return first_copies(hit).drop("_key", "_hash").toDF(*docs.columns)

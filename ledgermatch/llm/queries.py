@@ -7,8 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash
-from .common import read_table
+from . import (
+    bpe, decision_list, exact_dedup, langid, mixing, pii, quality_gbt, simhash, toxicity_cnn, warc
+)
+from .common import read_table, split_remainder
+
+#: A deployment passes its own secret.
+SURROGATE_KEY = b"ledgermatch surrogate key"
+
+
+def _held_out(parts: int, remainder: int):
+    return F.coalesce(split_remainder(F.col("doc_id"), parts) == remainder, F.lit(False)).alias("held_out")
+
+
+def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality_gbt.train_quality(docs, labels)
+    scored = quality_gbt.score_quality(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    records = warc.archive_pages(pages)
+    kind = pages.schema["page_id"].dataType
+    return records.select(
+        warc.page_id_of("record_id").cast(kind).alias("page_id"),
+        "payload_bytes", "payload_digest", "record_type",
+        warc.page_id_of("refers_to").cast(kind).alias("refers_to"),
+        "error",
+    )
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.surrogate_documents(docs, SURROGATE_KEY)
+    return done.select("doc_id", "text", F.size("spans").cast("long").alias("n_entities"))
+
+
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity_cnn.train_toxicity(docs, labels)
+    scored = toxicity_cnn.score_toxicity(docs, model, keep=["doc_id"])
+    toxic = F.col("score") >= toxicity_cnn.THRESHOLD
+    return scored.select("doc_id", _held_out(3, 1), "score", toxic.cast("int").alias("predicted"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +69,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.predict_languages(docs, langid.train_languages(docs), keep=["doc_id"])
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,11 +85,22 @@ def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    rules = decision_list.train_rules(docs, labels)
+    judged = decision_list.apply_rules(docs, rules, keep=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_byte_bpe": op6_byte_bpe,
-    "op8_simhash_gray": op8_simhash_gray,
-    "op9_block_naming": op9_block_naming,
-}
+    f.__name__: f
+    for f in (
+        op1_quality_gbt, op2_warc_zstd, op3_pii_surrogates, op4_toxicity_cnn, op5_source_mix, op6_byte_bpe,
+        op7_language_kernel, op8_simhash_gray, op9_block_naming, op10_decision_list,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_block_naming": """
