@@ -1,17 +1,13 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
-Long texts are cut before they reach the library, only at places where the
-splitting pattern cannot match across:
-
-* before white space that follows a non-space (every match of the pattern that
-  holds a non-space ends there, and none looks behind), and, in a stretch with
-  no such place,
-* where a run of letters or of digits ends, or where digits follow other signs.
-
-A single run that is still too long (one match of the pattern) is merged as one
-piece without the pattern; a run of white space is one match less its last
-character, which goes with what follows.  So ids equal those of the library
-over the whole text at any length.
+Long texts are cut before they reach the library, where white space follows a
+non-space: a match of the splitting pattern that holds a non-space ends there,
+and none looks behind.  A stretch without such a place is cut into its matches:
+a run of letters, of digits or of other signs is one, with the space before it,
+apart from contractions; a run of white space is one without its last
+character, which is taken along if it is a space and stands alone otherwise.
+A match too long for the library is merged here.  So ids equal those of the
+library over the whole text at any length.
 """
 
 from __future__ import annotations
@@ -29,9 +25,12 @@ from .common import utf8, with_text_columns
 #: Texts up to this many characters go to the library as they are.
 DIRECT_CHARS = 8192
 
-_SPACE_START = regex.compile(r"(?<=\S)(?=\s)")
-#: Runs that the pattern never joins to their neighbours: letters, digits, white space, the rest.
-_RUNS = regex.compile(r"\p{L}+|\p{N}+|\s+|[^\s\p{L}\p{N}]+")
+# White space as the library's regular expressions have it.
+_SPACE_START = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
+_STRETCH = regex.compile(r"(\p{White_Space}*)(\P{White_Space}*)", regex.DOTALL)
+_RUNS = regex.compile(r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+")
+#: What the pattern takes along after an apostrophe that stands alone.
+_CONTRACTIONS = regex.compile("s|t|re|ve|m|ll|d")
 
 
 @lru_cache(maxsize=4)
@@ -56,68 +55,58 @@ def safe_chunks(text: str, limit: int = DIRECT_CHARS):
     """
     pos, n = 0, len(text)
     while n - pos > limit:
-        cut = None
-        for m in _SPACE_START.finditer(text, pos + limit // 2, pos + limit):
+        cut = pos
+        for m in _SPACE_START.finditer(text, pos + 1, pos + limit):
             cut = m.start()
-        if cut is None or cut <= pos:
-            nxt = _SPACE_START.search(text, pos + limit)
-            stop = nxt.start() if nxt else n
-            yield from _spaceless_chunks(text[pos:stop], limit)
-            pos = stop
-        else:
+        if cut > pos:
             yield text[pos:cut], False
-            pos = cut
+        else:
+            following = _SPACE_START.search(text, pos + limit)
+            cut = following.start() if following else n
+            yield from _stretch_chunks(text[pos:cut], limit)
+        pos = cut
     if pos < n:
         yield text[pos:], False
 
 
-def _spaceless_chunks(stretch: str, limit: int):
-    """Chunks of a stretch whose only white space, if any, leads it."""
-    held: list[str] = []
+def _matches(stretch: str):
+    """(match, is white space) for each match of the pattern in a stretch: white space, then none."""
+    space, rest = _STRETCH.fullmatch(stretch).groups()
+    if not rest:
+        yield space, True
+        return
+    if len(space) > 1:
+        yield space[:-1], True
+    lead = space[-1:]
+    if lead and lead != " ":
+        yield lead, True
+        lead = ""
+    taken = 0
+    runs = _RUNS.findall(rest)
+    for run, after in zip(runs, [*runs[1:], ""], strict=True):
+        run, taken = run[taken:], 0
+        if run == "'" and not lead and (m := _CONTRACTIONS.match(after)):
+            run, taken = run + m.group(), m.end()
+        if run:
+            yield lead + run, False
+        lead = ""
+
+
+def _stretch_chunks(stretch: str, limit: int):
+    group: list[str] = []
     size = 0
-
-    def flush():
-        nonlocal held, size
-        out, held, size = "".join(held), [], 0
-        return out
-
-    runs = _RUNS.findall(stretch)
-    for i, run in enumerate(runs):
-        kind = "s" if run[0].isspace() else "l" if regex.match(r"\p{L}", run) else "n" if regex.match(r"\p{N}", run) else "o"
-        if kind == "s":
-            # One match for all but the last character, unless the run ends the text.
-            last = i == len(runs) - 1
-            if len(run) > limit:
-                if last:
-                    yield run, True
-                    continue
-                yield run[:-1], True
-                run = run[-1]
-            held.append(run)
-            size += len(run)
-            continue
-        before = "".join(held)[-1:] if held else ""
-        # No cut after a leading space (a match takes it along) nor between an apostrophe and letters.
-        if held and not before.isspace() and not (kind == "l" and before == "'"):
-            if size + len(run) > limit:
-                yield flush(), False
-                before = ""
-        if len(run) > limit and kind in "ln" and before != "'":
-            if before and before != " ":
-                # White space other than a space is its own match.
-                yield flush(), False
-                before = ""
-            yield flush() + run, True
-            continue
-        if len(run) > limit and kind == "o" and not run.startswith("'") and "'" not in run[-1:]:
-            if before and before != " ":
-                yield flush(), False
-            yield flush() + run, True
-            continue
-        held.append(run)
-        size += len(run)
-    if held:
-        yield flush(), False
+    for match, is_space in _matches(stretch):
+        alone = is_space or len(match) > limit
+        if group and (alone or size + len(match) > limit):
+            yield "".join(group), False
+            group, size = [], 0
+        if alone:
+            yield match, len(match) > limit
+        else:
+            group.append(match)
+            size += len(match)
+    if group:
+        yield "".join(group), False
 
 
 def _merge_piece(enc, piece: bytes) -> list[int]:

@@ -132,8 +132,8 @@ def row_key(id_col: str) -> Column:
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with its columns renamed c0, c1, ... and (_key, _hash) of id and text beside them."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    return docs.withColumns({"_key": row_key(id_col), "_hash": text_hash(text_col)}).toDF(*names, "_key", "_hash")
+    plain = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*plain, row_key(id_col).alias("_key"), text_hash(text_col).alias("_hash"))
 
 
 def first_copies(rows: DataFrame) -> DataFrame:

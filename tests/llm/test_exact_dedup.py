@@ -1,0 +1,47 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgermatch.llm import exact_dedup
+
+
+def brute(rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = {}
+    for doc_id, text, *_ in rows:
+        groups.setdefault(norm(text), []).append(doc_id)
+    out = []
+    for text, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        out += [(i, min(known, default=None), len(ids)) for i in ids]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_edges_match_brute_force(edge_docs, edge_rows, block):
+    found = exact_dedup.exact_duplicates(edge_docs, block_bytes=block).collect()
+    assert sorted([(r.doc_id, r.keep_id, r.group_size) for r in found], key=str) == brute(edge_rows)
+    for key in {r.keep_id for r in found}:
+        assert sum(r.kept for r in found if r.keep_id == key) == 1
+
+
+def test_names_survive_hash_collisions(make_docs):
+    """A digest of three values: nearly every block shares its hash with others."""
+    rows = [(i, f"{i % 5} some text {'pad ' * (i % 4)}{i % 3}") for i in range(60)]
+    weak = lambda c: F.octet_length(c).cast("long") % 3
+    found = exact_dedup.exact_duplicates(make_docs(rows), block_bytes=6, digest=weak).collect()
+    assert sorted([(r.doc_id, r.keep_id, r.group_size) for r in found], key=str) == brute(rows)
+
+
+def test_no_rows(no_docs):
+    assert exact_dedup.exact_duplicates(no_docs).count() == 0
+    assert exact_dedup.drop_exact_duplicates(no_docs).count() == 0
+
+
+def test_kept_rows_keep_their_columns(edge_docs, edge_rows):
+    kept = exact_dedup.drop_exact_duplicates(edge_docs)
+    assert kept.columns == edge_docs.columns
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in kept.collect()]
+    assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in edge_rows})
+    assert {r.doc_id for r in kept.collect()} == {1, 3, 5, 6, 8, 9, 10, 11, 12}
