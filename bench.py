@@ -19,11 +19,9 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-from ledgermatch.operators import (  # noqa: E402
-    candidate_pairs,
-    signal_transactions,
-)
-from ledgermatch.operators.scoring import at_threshold, scored_transactions  # noqa: E402
+from ledgermatch.operators import candidate_pairs, open_invoice_lines, signal_transactions  # noqa: E402
+from ledgermatch.operators.open_side import survey_open_lines  # noqa: E402
+from ledgermatch.operators.scoring import scored_at_threshold  # noqa: E402
 from ledgermatch.operators.transactions import select_transactions  # noqa: E402
 from ledgermatch.plans.pipeline import build_open_lines, run_match  # noqa: E402
 from ledgermatch.session import local_session  # noqa: E402
@@ -54,28 +52,25 @@ def main():
         return read_sources(spark, paths, cfg=cfg)
 
     def q_open_invoice_lines():
-        _sink(build_open_lines(load(), cfg, persist=False))
+        s = load()
+        _sink(open_invoice_lines(s.invoices, s.invoice_headers, s.invoice_lines, cfg))
 
-    def q_signal_transactions():
+    def signals():
         s = load()
         ol = build_open_lines(s, cfg)
-        pre = select_transactions(s.transactions, ol, cfg)
-        _sink(signal_transactions(pre, ol, cfg))
-        ol.unpersist()
+        side = survey_open_lines(ol, cfg)
+        pre = select_transactions(s.transactions, ol, cfg, side)
+        return signal_transactions(pre, ol, cfg, side), ol, side
+
+    def q_signal_transactions():
+        _sink(signals()[0])
 
     def q_score_pairs():
-        s = load()
-        ol = build_open_lines(s, cfg)
-        pre = select_transactions(s.transactions, ol, cfg)
-        sig = signal_transactions(pre, ol, cfg)
-        _sink(at_threshold(scored_transactions(candidate_pairs(sig, ol, cfg), cfg), cfg))
-        ol.unpersist()
+        sig, ol, side = signals()
+        _sink(scored_at_threshold(candidate_pairs(sig, ol, cfg, side=side), ol, cfg))
 
     def q_match_report():
-        run = run_match(load(), cfg)
-        _sink(run.report)
-        run.open_lines.unpersist()
-        run.scored.unpersist()
+        _sink(run_match(load(), cfg).report)
 
     # One untimed warm-up of the end-to-end query (JIT, class loading).
     q_match_report()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from types import MappingProxyType
 
@@ -24,6 +25,14 @@ DEFAULT_TOKEN_MIN_DIGITS = 5
 _UNIT_CODE_WEIGHTS = MappingProxyType({c: 1 for c in CODE_COLUMNS})
 
 
+def decimal_type(text: str) -> tuple[int, int]:
+    """(precision, scale) of ``decimal(p[, s])``."""
+    m = re.fullmatch(r"\s*decimal\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)\s*", text.lower())
+    if not m:
+        raise ValueError(f"a decimal type is needed, got {text!r}")
+    return int(m.group(1)), int(m.group(2) or 0)
+
+
 @dataclass(frozen=True)
 class MatchConfig:
     """All literals of the scoring model.  Weights must be non-negative."""
@@ -50,11 +59,8 @@ class MatchConfig:
     # Row bound under which a relation derived from the open invoice lines
     # is broadcast; above it the same join runs as a shuffled hash join.
     broadcast_max_rows: int = 2_000_000
-    # ... and bound on rows x estimated row width of a broadcast relation.
+    # ... and bound on the measured bytes of a broadcast relation.
     broadcast_max_bytes: int = 256 * 1024 * 1024
-    # Open lines above this count get their key statistics (used only to
-    # choose the blocking grouping, never to filter) from a seeded sample.
-    stats_max_rows: int = 1_000_000
     # Skip the transaction pre-match when it provably cannot change the
     # result (see ``prematch_is_redundant``).
     skip_redundant_prematch: bool = True
@@ -71,6 +77,18 @@ class MatchConfig:
             raise ValueError("code weights must be >= 0")
         if not (0 < self.token_min_len <= self.token_max_len):
             raise ValueError("token lengths must satisfy 0 < min <= max")
+        # The token is looked for in upper-cased text.
+        object.__setattr__(self, "token_prefix", self.token_prefix.upper())
+        if decimal_type(self.total_type)[1] < self.money_scale:
+            raise ValueError("total_type must keep the scale of money_type")
+
+    @property
+    def money_precision(self) -> int:
+        return decimal_type(self.money_type)[0]
+
+    @property
+    def money_scale(self) -> int:
+        return decimal_type(self.money_type)[1]
 
     def with_(self, **changes) -> "MatchConfig":
         return replace(self, **changes)

@@ -1,4 +1,4 @@
-from .keys import money_key, tagged, text_key
+from .keys import hash_key, money_key, text_key
 from .oracle import blank_to_null, concat_text, minus_days, number_text, plus_days
 from .tokens import invoice_token_flag, token_pattern
 
@@ -10,7 +10,7 @@ __all__ = [
     "money_key",
     "number_text",
     "plus_days",
-    "tagged",
+    "hash_key",
     "text_key",
     "token_pattern",
 ]

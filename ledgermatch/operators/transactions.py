@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions.oracle import blank_to_null
 from ..functions.tokens import invoice_token_flag
+from .open_side import OpenSide, survey_open_lines
 
 TX_COLUMNS = (
     "TranID", "CHART", "ACCI", "FUND", "ORGN", "ACCT", "PROG", "ACTV", "LOCN",
@@ -18,16 +19,23 @@ TX_COLUMNS = (
 )
 
 
-def normalize_transactions(raw: DataFrame, colmap: dict[str, str] | None = None) -> DataFrame:
-    """O4: rename source columns to the matcher's names and upper-case the text.
+def rename_ledger(raw: DataFrame, colmap: dict[str, str] | None = None) -> DataFrame:
+    """The matcher's columns of a ledger with names of its own.
 
-    ``colmap`` maps source column -> matcher column (identity when omitted);
-    it lets a ledger table with its own naming scheme feed the matcher
-    without touching anything downstream.  '' becomes NULL.
+    ``colmap`` maps source column -> matcher column; matcher columns that it
+    does not name are taken under their own names.  Plain aliases: predicates
+    on the new names reach the scan as predicates on the old ones.
     """
-    if colmap:
-        raw = raw.select(*[F.col(src).alias(dst) for src, dst in colmap.items()])
-    tx = blank_to_null(raw.select(*TX_COLUMNS))
+    source = {dst: src for src, dst in (colmap or {}).items()}
+    unknown = set(source) - set(TX_COLUMNS)
+    if unknown:
+        raise ValueError(f"no such ledger columns: {sorted(unknown)}")
+    return raw.select(*[F.col(source.get(c, c)).alias(c) for c in TX_COLUMNS])
+
+
+def normalize_transactions(raw: DataFrame, colmap: dict[str, str] | None = None) -> DataFrame:
+    """O4: rename source columns to the matcher's names and upper-case the text; '' becomes NULL."""
+    tx = blank_to_null(rename_ledger(raw, colmap))
     return tx.withColumn("upperDescription", F.upper(F.col("DESCRIPTION")))
 
 
@@ -36,20 +44,16 @@ def ts_literal(value: _dt.datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def date_floor(open_lines: DataFrame, cfg: MatchConfig) -> _dt.datetime | None:
+def date_floor(oldest: _dt.datetime | None, cfg: MatchConfig) -> _dt.datetime | None:
     """Oldest open invoice date minus the grace period (None: no open invoice).
 
-    A single aggregate value is fetched, so the floor can be applied as a
-    literal: that lets Parquet skip row groups (and a date-partitioned
-    ledger skip partitions), which a runtime scalar subquery does not.
+    Applied as a literal, it lets Parquet skip row groups (and a
+    date-partitioned ledger skip partitions), which a scalar subquery does not.
     """
-    oldest = open_lines.agg(F.min("DATINVOICEDATE")).first()[0]
-    if oldest is None:
-        return None
-    return oldest - _dt.timedelta(days=cfg.grace_days)
+    return None if oldest is None else oldest - _dt.timedelta(days=cfg.grace_days)
 
 
-def prefilter_transactions(tx: DataFrame, open_lines: DataFrame, cfg: MatchConfig) -> DataFrame:
+def prefilter_transactions(tx: DataFrame, open_lines: DataFrame, cfg: MatchConfig, side: OpenSide | None = None) -> DataFrame:
     """O5: rule class allowed, account not excluded, date not before the floor.
 
     Gives the same rows on the raw ledger and on the normalised one ('' and
@@ -57,7 +61,7 @@ def prefilter_transactions(tx: DataFrame, open_lines: DataFrame, cfg: MatchConfi
     first: then all three predicates reach the Parquet reader
     (``PushedFilters``) and are not hidden behind the '' -> NULL rewrite.
     """
-    floor = date_floor(open_lines, cfg)
+    floor = date_floor((side or survey_open_lines(open_lines, cfg)).oldest, cfg)
     if floor is None:
         return tx.filter(F.lit(False))
     rules = [r for r in cfg.rule_classes if r]
@@ -68,9 +72,11 @@ def prefilter_transactions(tx: DataFrame, open_lines: DataFrame, cfg: MatchConfi
     return tx.filter(cond)
 
 
-def select_transactions(raw: DataFrame, open_lines: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """O4 + O5: pre-filter the raw ledger (pushed down), then normalise."""
-    return normalize_transactions(prefilter_transactions(raw, open_lines, cfg))
+def select_transactions(
+    raw: DataFrame, open_lines: DataFrame, cfg: MatchConfig, side: OpenSide | None = None, colmap: dict[str, str] | None = None
+) -> DataFrame:
+    """O4 + O5: pre-filter the ledger (pushed down, under its own names), then normalise."""
+    return normalize_transactions(prefilter_transactions(rename_ledger(raw, colmap), open_lines, cfg, side))
 
 
 def with_token_flag(tx: DataFrame, cfg: MatchConfig) -> DataFrame:

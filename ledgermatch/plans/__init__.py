@@ -1,5 +1,5 @@
 """Plans: join helpers and the composed match (``ledgermatch.plans.pipeline``)."""
 
-from .joins import at_most, checked_broadcast, checkpoint_dir, materialize
+from .joins import checked_broadcast, materialize, measure
 
-__all__ = ["at_most", "checked_broadcast", "checkpoint_dir", "materialize"]
+__all__ = ["checked_broadcast", "materialize", "measure"]

@@ -1,87 +1,58 @@
-"""Join helpers: broadcast only behind a size check, materialise small results."""
+"""Join helpers: broadcast only behind a measured size, materialise reused results."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 
-def at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
 
-    Reads at most ``max_rows + 1`` rows, so the check is cheap even when the
-    relation turns out to be large.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+@dataclass(frozen=True)
+class Size:
+    rows: int
+    bytes: int
+
+    def fits(self, max_rows: int, max_bytes: int | None) -> bool:
+        return self.rows <= max_rows and (max_bytes is None or self.bytes <= max_bytes)
 
 
-def _type_width(t: T.DataType) -> int:
-    """Spark's default size estimate of a value of type ``t`` (strings: 20)."""
-    if isinstance(t, (T.BooleanType, T.ByteType)):
-        return 1
-    if isinstance(t, T.ShortType):
-        return 2
-    if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    if isinstance(t, T.DecimalType):
-        return 8 if t.precision <= 18 else 16
-    if isinstance(t, T.StructType):
-        return sum(_type_width(f.dataType) for f in t.fields)
-    if isinstance(t, (T.ArrayType, T.MapType)):
-        return 100
-    if isinstance(t, (T.StringType, T.BinaryType)):
-        return 20
-    return 8  # long, double, timestamps
+def text_bytes(df: DataFrame):
+    """Sum of the UTF-8 bytes of all text columns, as an aggregate."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+    return F.coalesce(F.sum(total), F.lit(0))
 
 
-def row_width(df: DataFrame) -> int:
-    """Estimated bytes per row: per-type default sizes plus a row header."""
-    return 8 + sum(_type_width(f.dataType) for f in df.schema.fields)
+def measure(df: DataFrame) -> Size:
+    """Rows and bytes (text as it is, sixteen bytes for any other value and the row), in one aggregate."""
+    rows, text = df.agg(F.count(F.lit(1)), text_bytes(df)).first()
+    return Size(rows, text + 16 * rows * (1 + len(df.columns)))
 
 
 def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
-    """Mark ``df`` for broadcast only if it is proven small.
+    """Mark ``df`` for broadcast only if its measured size is within the bounds.
 
-    The row count is bounded by ``max_rows`` (checked by reading at most
-    ``max_rows + 1`` rows) and rows x estimated row width by ``max_bytes``.
-    Above the bound the join stays a shuffled join (sort-merge or shuffled
-    hash, with AQE splitting skewed partitions), so nothing unbounded is
-    ever shipped to every executor.
+    Above them the join stays a shuffled join (AQE splits hot keys), with the
+    same result, so nothing unbounded is ever shipped to every executor.
     """
-    limit = max_rows
-    if max_bytes is not None:
-        limit = min(limit, max(max_bytes // row_width(df), 0))
-    if at_most(df, limit):
+    if measure(df).fits(max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False
 
 
-def checkpoint_dir(df: DataFrame) -> str | None:
-    """The cluster's shared checkpoint folder, if the session names one."""
-    spark = df.sparkSession
-    try:
-        d = spark.sparkContext.getCheckpointDir()
-    except Exception:  # pragma: no cover - e.g. Spark Connect
-        d = None
-    return d or spark.conf.get("spark.checkpoint.dir", None) or None
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a small, reused relation once and cut its lineage.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a reused relation to the shared folder and read it back.
 
-    With a shared checkpoint folder the rows are written there (reliable
-    checkpoint: survives executor loss without recomputation); otherwise
-    they are persisted memory-and-disk and recomputed from lineage if an
-    executor is lost.  Used only for relations bounded by the open-invoice
-    side or by the thresholded result, never for the transaction scan.
+    Computed once; lineage ends at the files, so a lost executor costs a
+    re-read, and nothing stays in the executors' memory after the run.
     """
-    if checkpoint_dir(df):
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = cached.checkpoint(eager=True)
-        cached.unpersist()
-        return out
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/ledgermatch-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,22 +18,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..config import MatchConfig
-from ..operators.candidates import BlockPlan, candidate_pairs, choose_blocks
-from ..operators.invoices import open_invoice_lines
+from ..operators.candidates import BlockPlan, candidate_pairs, choose_blocks, numbered
+from ..operators.invoices import OPEN_LINE_COLUMNS, open_invoice_lines
 from ..operators.offsets import annotate, debit_offsets
+from ..operators.open_side import OpenSide, survey_open_lines
 from ..operators.ranking import matched_results, rank_matches
 from ..operators.report import match_report
-from ..operators.scoring import at_threshold, scored_transactions
+from ..operators.scoring import scored_at_threshold
 from ..operators.signals import signal_transactions
 from ..operators.transactions import select_transactions, with_token_flag
 from ..sources.tables import Sources
 from .joins import materialize
+from .quality import assert_quality
 
 
 @dataclass
 class MatchRun:
     config: MatchConfig
     blocks: BlockPlan
+    side: OpenSide
     open_lines: DataFrame
     prefiltered: DataFrame
     signals: DataFrame
@@ -46,12 +49,14 @@ class MatchRun:
     report: DataFrame
 
 
-def build_open_lines(src: Sources, cfg: MatchConfig, persist: bool = True) -> DataFrame:
-    ol = open_invoice_lines(src.invoices, src.invoice_headers, src.invoice_lines, cfg)
-    return materialize(ol) if persist else ol
+def build_open_lines(src: Sources, cfg: MatchConfig) -> DataFrame:
+    """The open lines, numbered, as a written table."""
+    return materialize(numbered(open_invoice_lines(src.invoices, src.invoice_headers, src.invoice_lines, cfg)), "open-lines")
 
 
-def pair_input(prefiltered: DataFrame, open_lines: DataFrame, cfg: MatchConfig, use_prematch: bool | None = None) -> DataFrame:
+def pair_input(
+    prefiltered: DataFrame, open_lines: DataFrame, cfg: MatchConfig, use_prematch: bool | None = None, side: OpenSide | None = None
+) -> DataFrame:
     """Transactions that enter the pair join.
 
     The pre-match only removes transactions whose pairs score at most
@@ -61,25 +66,33 @@ def pair_input(prefiltered: DataFrame, open_lines: DataFrame, cfg: MatchConfig,
     if use_prematch is None:
         use_prematch = not (cfg.skip_redundant_prematch and cfg.prematch_is_redundant())
     if use_prematch:
-        return signal_transactions(prefiltered, open_lines, cfg)
+        return signal_transactions(prefiltered, open_lines, cfg, side)
     return with_token_flag(prefiltered, cfg)
 
 
-def run_match(src: Sources, cfg: MatchConfig, use_prematch: bool | None = None, persist: bool = True) -> MatchRun:
-    open_lines = build_open_lines(src, cfg, persist)
-    pre = select_transactions(src.transactions, open_lines, cfg)
-    sig = pair_input(pre, open_lines, cfg, use_prematch)
+def run_match(
+    src: Sources,
+    cfg: MatchConfig,
+    use_prematch: bool | None = None,
+    colmap: dict[str, str] | None = None,
+    check_inputs: bool = False,
+) -> MatchRun:
+    """The whole match; ``colmap`` names the ledger's own columns, ``check_inputs`` first asserts unique ids."""
+    if check_inputs:
+        assert_quality(src, colmap)
+    open_lines = build_open_lines(src, cfg)
+    side = survey_open_lines(open_lines, cfg)
+    pre = select_transactions(src.transactions, open_lines, cfg, side, colmap)
+    sig = pair_input(pre, open_lines, cfg, use_prematch, side)
     blocks = choose_blocks(open_lines, cfg)
-    pairs = candidate_pairs(sig, open_lines, cfg, blocks)
-    scored = at_threshold(scored_transactions(pairs, cfg), cfg)
-    if persist:
-        scored = materialize(scored)
+    pairs = candidate_pairs(sig, open_lines, cfg, blocks, side)
+    scored = materialize(scored_at_threshold(pairs, open_lines, cfg), "scored")
     matched = matched_results(scored, cfg)
     ranked = rank_matches(matched)
     offsets = debit_offsets(scored, cfg)
     annotated = annotate(ranked, offsets, cfg)
     return MatchRun(
-        config=cfg, blocks=blocks, open_lines=open_lines, prefiltered=pre, signals=sig,
+        config=cfg, blocks=blocks, side=side, open_lines=open_lines.select(*OPEN_LINE_COLUMNS), prefiltered=pre, signals=sig,
         pairs=pairs, scored=scored, matched=matched, ranked=ranked, offsets=offsets,
         annotated=annotated, report=match_report(annotated),
     )

@@ -20,7 +20,11 @@ from .tables import Sources, conform
 # --- fixed values of the fixture derivation ---
 FIXTURE_EXCLUDED_ACCOUNTS = ("A11",)
 INVOICE_PREFIX = "FI"
-INVOICE_DIGITS = 6
+OTHER_PREFIX = "QX"
+# Least number of digits after the prefix, by order key modulo 300; else 6.
+INVOICE_WIDTHS = {100: 5, 200: 7}
+# An invoice line's id is its order key times this, plus its rank.
+LINE_SPAN = 1_000_000
 # --- end of fixed values ---
 
 
@@ -34,7 +38,13 @@ def _s(prefix: str, col) -> F.Column:
 
 
 def _invoice_no(orderkey) -> F.Column:
-    return F.concat(F.lit(INVOICE_PREFIX), F.lpad(orderkey.cast("string"), INVOICE_DIGITS, "0"))
+    """Prefix and zero-padded order key; a key longer than its width is kept whole."""
+    width = F.lit(6)
+    for rest, digits in INVOICE_WIDTHS.items():
+        width = F.when(orderkey % 300 == rest, digits).otherwise(width)
+    text = orderkey.cast("string")
+    prefix = F.when(orderkey % 200 == 101, OTHER_PREFIX).otherwise(INVOICE_PREFIX)
+    return F.concat(prefix, F.lpad(text, F.greatest(width, F.length(text)), F.lit("0")))
 
 
 def derive_invoice_lines(lineitem: DataFrame) -> DataFrame:
@@ -49,58 +59,51 @@ def derive_invoice_lines(lineitem: DataFrame) -> DataFrame:
     li = li.withColumn("rn", F.row_number().over(w))
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     return li.select(
+        "l_orderkey",
         _invoice_no(F.col("l_orderkey")).alias("TXTINVOICE"),
-        (F.col("l_orderkey") * 100 + F.col("rn")).cast("bigint").alias("CTRINVA"),
-        F.when(pk % 97 == 0, F.lit(None)).otherwise(_s("F", sk % 20)).alias("FUND"),
-        _s("O", pk % 40).alias("ORGN"),
+        (F.col("l_orderkey") * LINE_SPAN + F.col("rn")).cast("bigint").alias("CTRINVA"),
+        F.when(pk % 97 == 0, F.lit(None)).when(pk % 89 == 0, "").otherwise(_s("F", sk % 20)).alias("FUND"),
+        F.when(pk % 31 == 0, "").otherwise(_s("O", pk % 40)).alias("ORGN"),
         _s("A", pk % 12).alias("ACCT"),
         _s("P", sk % 6).alias("PROG"),
         F.when(ln % 3 == 0, _s("V", pk % 5)).alias("ACTV"),
-        F.when(ln % 4 == 0, _s("L", sk % 5)).alias("LOCN"),
+        F.when(ln % 4 == 0, _s("L", sk % 5)).when(ln % 4 == 1, "").alias("LOCN"),
         _s("I", pk % 60).alias("ACCI"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("CURAMOUNT"),
     )
 
 
 def derive_invoices(orders: DataFrame, customer: DataFrame, lines: DataFrame) -> DataFrame:
-    totals = lines.groupBy("TXTINVOICE").agg(
-        F.sum("CURAMOUNT").cast("decimal(12,2)").alias("INVAMOUNT")
-    )
+    totals = lines.groupBy("l_orderkey").agg(F.sum("CURAMOUNT").cast("decimal(12,2)").alias("INVAMOUNT"))
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     c = customer.select("c_custkey", "c_name", "c_mktsegment")
     ok = F.col("o_orderkey")
-    inv = (
-        o.join(c, o.o_custkey == c.c_custkey)
-        .withColumn("TXTINVOICE", _invoice_no(ok))
-        .join(totals, "TXTINVOICE")
-    )
-    payments = F.when(ok % 3 == 0, F.floor(F.col("INVAMOUNT") / 4)).otherwise(F.lit(0))
-    payments = payments.cast("decimal(12,2)")
+    inv = o.join(c, o.o_custkey == c.c_custkey).join(totals, ok == F.col("l_orderkey"))
+    payments = F.when(ok % 3 == 0, F.floor(F.col("INVAMOUNT") / 4)).otherwise(F.lit(0)).cast("decimal(12,2)")
+    adjustments = F.when(ok % 7 == 0, -F.floor(F.col("INVAMOUNT") / 50)).otherwise(F.lit(0)).cast("decimal(12,2)")
     return inv.select(
-        "TXTINVOICE",
+        ok.alias("okey"),
+        _invoice_no(ok).alias("TXTINVOICE"),
         F.col("o_custkey").alias("CTRCUSTOMER"),
         F.col("c_name").alias("TXTCUSTOMERNAME"),
-        F.col("o_orderdate").cast("timestamp_ntz").alias("DATINVOICEDATE"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (ok % 24).cast("int"))).alias("DATINVOICEDATE"),
         "INVAMOUNT",
-        (F.col("INVAMOUNT") - payments).cast("decimal(12,2)").alias("OUTSTANDING"),
+        (F.col("INVAMOUNT") - payments + adjustments).cast("decimal(12,2)").alias("OUTSTANDING"),
         payments.alias("PAYMENTS"),
-        F.lit(0).cast("decimal(12,2)").alias("ADJUSTMENTS"),
-        F.when((F.col("o_orderstatus") != "F") & (ok % 100 < 2), F.lit(-1))
-        .otherwise(F.lit(0))
-        .alias("BLNPOSTED"),
+        adjustments.alias("ADJUSTMENTS"),
+        F.when((F.col("o_orderstatus") != "F") & (ok % 100 < 2), F.lit(-1)).otherwise(F.lit(0)).alias("BLNPOSTED"),
         _s("B", ok % 50).alias("TXTBATCHID"),
         F.col("c_mktsegment").alias("TXTDEPT"),
     )
 
 
 def derive_invoice_headers(invoices: DataFrame) -> DataFrame:
-    key = F.substring(F.col("TXTINVOICE"), len(INVOICE_PREFIX) + 1, INVOICE_DIGITS).cast("bigint")
-    return invoices.select("TXTINVOICE", _s("user", key % 10).alias("TXTCREATED"))
+    return invoices.select("TXTINVOICE", _s("user", F.col("okey") % 10).alias("TXTCREATED"))
 
 
 def derive_transactions(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    inv = invoices.select("TXTINVOICE", "INVAMOUNT", "OUTSTANDING", "DATINVOICEDATE")
-    base = lines.join(inv, "TXTINVOICE")
+    inv = invoices.select("okey", "INVAMOUNT", "OUTSTANDING", "DATINVOICEDATE")
+    base = lines.join(inv, F.col("l_orderkey") == F.col("okey"))
     k = F.col("CTRINVA")
     # r = 0: the credit; r = 1 / 2: reversing debits for every 4th / 8th line.
     reps = F.when(k % 8 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).when(
@@ -108,9 +111,10 @@ def derive_transactions(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     ).otherwise(F.array(F.lit(0)))
     t = base.withColumn("r", F.explode(reps))
     inv_no, r = F.col("TXTINVOICE"), F.col("r")
-    sel = (F.floor(k / 100) + k) % 6
+    sel = (F.col("okey") + k) % 6
     amount = (
-        F.when(sel == 0, F.col("INVAMOUNT"))
+        F.when(k % 29 == 0, F.lit(None))
+        .when(sel == 0, F.col("INVAMOUNT"))
         .when(sel == 1, F.col("OUTSTANDING"))
         .when(sel == 2, F.col("CURAMOUNT") + 1)
         .when(sel == 3, -F.col("CURAMOUNT"))
@@ -118,29 +122,33 @@ def derive_transactions(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     )
     d = k % 11
     desc = (
-        F.when(d == 0, F.lit(None).cast("string"))
+        F.when(k % 22 == 0, "")
+        .when(d == 0, F.lit(None).cast("string"))
         .when(d == 1, F.concat(F.lit("Payment "), inv_no))
         .when(d == 2, F.concat(F.lit("pmt "), F.replace(F.lower(inv_no), F.lit("fi00"), F.lit("fi0o")), F.lit(" rcvd")))
-        .when(d == 3, F.concat(F.lit("FI"), F.substring(inv_no, 4, 1000), F.lit(" check")))
+        .when(d == 3, F.concat(F.lit("FI"), F.substr(inv_no, F.lit(4)), F.lit(" check")))
         .when(d == 4, F.lit("Fish and Chips"))
         .when(d == 5, F.concat(F.lit("FISHING1 "), inv_no))
         .when(d == 6, F.concat(F.lit("X"), inv_no))
         .when(d == 7, F.concat(F.lit("("), inv_no, F.lit(")")))
+        .when((d == 8) & (k % 2 == 0), F.concat(F.lit("FI77777 and "), inv_no, F.lit(" "), inv_no))
         .otherwise(F.concat(F.lit("deposit "), k.cast("string")))
     )
     rucl = F.when(k % 9 == 0, F.lit("YTD")).when(k % 9 == 1, F.lit("RCP")).otherwise(F.lit("JE16"))
+    date = F.when(k % 41 != 0, plus_days(F.col("DATINVOICEDATE"), (k * 7) % 75 - 20))
     return t.select(
         (k * 10 + r).cast("bigint").alias("TranID"),
         F.lit("U").alias("CHART"),
         F.when(k % 7 == 0, F.lit("IX")).otherwise(F.col("ACCI")).alias("ACCI"),
         F.when(k % 5 == 0, F.lit("FX")).otherwise(F.col("FUND")).alias("FUND"),
         F.when(k % 4 == 0, F.lit("OX")).otherwise(F.col("ORGN")).alias("ORGN"),
-        "ACCT", "PROG", "ACTV", "LOCN",
+        F.when(k % 23 == 0, F.lit(None)).when(k % 19 == 0, "").otherwise(F.col("ACCT")).alias("ACCT"),
+        "PROG", "ACTV", "LOCN",
         amount.cast("decimal(12,2)").alias("AMOUNT"),
         desc.alias("DESCRIPTION"),
-        plus_days(F.col("DATINVOICEDATE"), (k * 7) % 75 - 20).alias("TRANDATE"),
+        date.alias("TRANDATE"),
         F.when(r == 0, F.lit("C")).otherwise(F.lit("D")).alias("DCIND"),
-        _s("D", F.floor(k / 100)).alias("DOCUMENT"),
+        _s("D", F.col("okey")).alias("DOCUMENT"),
         _s("R", k).alias("DOCREFNUM"),
         r.cast("int").alias("SEQNUMBER"),
         rucl.alias("RUCL_CODE"),

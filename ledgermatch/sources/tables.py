@@ -16,11 +16,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import MatchConfig
 
-MONEY = "decimal(12,2)"
-
 INVOICES_SCHEMA = (
     "TXTINVOICE string not null, CTRCUSTOMER bigint, TXTCUSTOMERNAME string, "
     "DATINVOICEDATE timestamp_ntz not null, INVAMOUNT decimal(12,2), "
@@ -62,16 +61,22 @@ class Sources:
     transactions: DataFrame
 
 
-def conform(df: DataFrame, table: str, cfg: MatchConfig | None = None) -> DataFrame:
-    """Project ``df`` onto the table's schema: column order and types."""
-    spark = df.sparkSession
-    schema = spark.createDataFrame([], SCHEMAS[table]).schema
-    money = cfg.money_type if cfg else MONEY
-    cols = []
-    for f in schema.fields:
-        typ = money if f.name in MONEY_COLUMNS.get(table, ()) else f.dataType.simpleString()
-        cols.append(F.col(f.name).cast(typ).alias(f.name))
-    return df.select(*cols)
+def table_schema(table: str, cfg: MatchConfig | None = None, colmap: dict[str, str] | None = None) -> T.StructType:
+    """The table's schema with the configured money type, under the source's column names."""
+    source = {dst: src for src, dst in (colmap or {}).items()}
+    money = T.DecimalType(cfg.money_precision, cfg.money_scale) if cfg else None
+    fields = []
+    for f in T.StructType.fromDDL(SCHEMAS[table]).fields:
+        kind = money if money and f.name in MONEY_COLUMNS.get(table, ()) else f.dataType
+        fields.append(T.StructField(source.get(f.name, f.name), kind, f.nullable))
+    return T.StructType(fields)
+
+
+def conform(df: DataFrame, table: str, cfg: MatchConfig | None = None, colmap: dict[str, str] | None = None) -> DataFrame:
+    """Project ``df`` onto the table's schema: names, column order and types."""
+    raw = table_schema(table, cfg, colmap).fields
+    names = table_schema(table, cfg).names
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(n) for f, n in zip(raw, names, strict=True)])
 
 
 def read_sources(
@@ -79,18 +84,21 @@ def read_sources(
     paths: dict[str, str],
     fmt: str = "parquet",
     cfg: MatchConfig | None = None,
+    colmaps: dict[str, dict[str, str]] | None = None,
 ) -> Sources:
     """Read the four tables from files (any Spark batch format) or tables.
 
     ``paths`` maps table name to a path, or to ``table:<name>`` for a
-    catalog table.  Columns are pruned and filters pushed down by Catalyst.
+    catalog table; ``colmaps`` maps a table name to its renamed columns
+    (source column -> matcher column).  Money is read with ``cfg.money_type``.
+    Columns are pruned and filters pushed down by Catalyst.
     """
     frames = {}
     for name in SCHEMAS:
-        loc = paths[name]
+        loc, colmap = paths[name], (colmaps or {}).get(name)
         if loc.startswith("table:"):
             raw = spark.table(loc[len("table:"):])
         else:
-            raw = spark.read.format(fmt).schema(SCHEMAS[name]).load(loc)
-        frames[name] = conform(raw, name, cfg)
+            raw = spark.read.format(fmt).schema(table_schema(name, cfg, colmap)).load(loc)
+        frames[name] = conform(raw, name, cfg, colmap)
     return Sources(**frames)

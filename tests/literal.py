@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CODE_COLUMNS, MatchConfig
-from ..functions.oracle import minus_days
-from ..operators.candidates import TX_CODE, TX_PAIR_COLUMNS
-from ..operators.signals import AMOUNT_COLUMNS
+from ledgermatch.config import CODE_COLUMNS, MatchConfig
+from ledgermatch.functions.oracle import minus_days
+from ledgermatch.operators.candidates import TX_CODE, TX_PAIR_COLUMNS
+from ledgermatch.operators.signals import AMOUNT_COLUMNS
 
 
 def literal_pairs(tx: DataFrame, open_lines: DataFrame, cfg: MatchConfig) -> DataFrame:

@@ -10,10 +10,11 @@ from ledgermatch.config import CODE_COLUMNS, MatchConfig
 from ledgermatch.operators import candidate_pairs
 from ledgermatch.operators.transactions import select_transactions
 from ledgermatch.operators.candidates import plan_blocks, set_partitions
-from ledgermatch.operators.scoring import PAIR_KEY, at_threshold, scored_transactions
-from ledgermatch.plans.literal import literal_pairs
+from ledgermatch.operators.scoring import PAIR_KEY, at_threshold, scored_at_threshold, scored_transactions
 from ledgermatch.plans.pipeline import build_open_lines, pair_input
 
+from .literal import literal_pairs
+
 
 def _covered(cfg, costs=None):
     """Every non-amount, non-exact pair of the OR join with score >= T hits a block."""
@@ -73,7 +74,7 @@ def _pairs_both_ways(spark, sources, cfg):
     pre = select_transactions(sources.transactions, ol, cfg)
     sig = pair_input(pre, ol, cfg, use_prematch=True)
     cols = [*PAIR_KEY, "InvLineScore"]
-    blocked = at_threshold(scored_transactions(candidate_pairs(sig, ol, cfg), cfg), cfg).select(*cols)
+    blocked = scored_at_threshold(candidate_pairs(sig, ol, cfg), ol, cfg).select(*cols)
     literal = at_threshold(scored_transactions(literal_pairs(sig, ol, cfg), cfg), cfg).select(*cols)
     return blocked, literal
 
@@ -95,6 +96,39 @@ def test_blocked_equals_literal_other_weights(spark, sources, cfg):
     assert blocked.exceptAll(literal).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_blocked_equals_literal_random_weights(spark, sources, cfg, seed):
+    import random
+
+    rnd = random.Random(seed)
+    weights = {c: rnd.randint(0, 3) for c in CODE_COLUMNS}
+    c = cfg.with_(threshold=rnd.randint(3, 9), code_weights=weights, w_amount=rnd.randint(0, 3),
+                  w_exact_invoice=rnd.randint(0, 6), w_possible_invoice=rnd.randint(0, 2), w_date=rnd.randint(0, 2))
+    blocked, literal = _pairs_both_ways(spark, sources, c)
+    assert blocked.exceptAll(literal).count() == 0 and literal.exceptAll(blocked).count() == 0
+
+
+def test_wide_money_keeps_amount_points(spark, cfg):
+    """An amount beyond a long in cents still counts as equal."""
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from .helpers import T0, invoice, line, sources as built, tx
+
+    c = cfg.with_(money_type="decimal(22,2)", total_type="decimal(32,2)", excluded_accounts=())
+    big = Decimal("123456789012345678.25")
+    s = built(spark, [invoice("FI00123")], [line("FI00123", 1, "F1", "5.00")], [tx(1, "1.00", T0, None, prog="X", acci="X")])
+    money = F.lit(str(big)).cast("decimal(22,2)")
+    s = type(s)(
+        invoices=s.invoices.withColumn("INVAMOUNT", money).withColumn("OUTSTANDING", money),
+        invoice_headers=s.invoice_headers, invoice_lines=s.invoice_lines,
+        transactions=s.transactions.withColumn("AMOUNT", money),
+    )
+    blocked, literal = _pairs_both_ways(spark, s, c.with_(threshold=5))
+    assert [r.InvLineScore for r in blocked.collect()] == [r.InvLineScore for r in literal.collect()] == [6]
+
+
 def test_pairs_are_unique(spark, sources, cfg):
     blocked, _ = _pairs_both_ways(spark, sources, cfg.with_(threshold=3))
     assert blocked.count() == blocked.select(*PAIR_KEY).distinct().count()

@@ -22,20 +22,38 @@ def run(sources, cfg):
 
 
 def test_fixture_counts(run):
-    # Expected counts of the sf0.001 fixture (FIXTURES.md section 3).
+    # Counts of the sf0.001 fixture (FIXTURES.md section 3).
     assert run.open_lines.count() == 84
-    assert run.open_lines.select("TXTINVOICE").distinct().count() == 22
-    assert run.prefiltered.count() == 5923
-    assert run.scored.count() == 174
-    assert run.scored.filter("DCIND = 'C'").count() == 149
-    by_count = {r.DebitMatches: r["count"] for r in run.offsets.groupBy("DebitMatches").count().collect()}
-    assert by_count == {1: 3, 2: 11}
+    assert run.prefiltered.count() == 4938
+    assert run.scored.count() == 146
+    assert run.scored.filter("DCIND = 'C'").count() == 131
+
+
+def test_fixture_holds_every_rule(sources, run):
+    """Each NULL, blank, date and number rule has something to act on."""
+    tx, lines, inv = sources.transactions, sources.invoice_lines, run.open_lines
+    for rows in (
+        tx.filter("ACCT IS NULL"), tx.filter("ACCT = ''"), tx.filter("AMOUNT IS NULL"), tx.filter("TRANDATE IS NULL"),
+        tx.filter("DESCRIPTION = ''"), tx.filter("hour(TRANDATE) > 0"), lines.filter("FUND = ''"), lines.filter("ORGN = ''"),
+        sources.invoices.filter("ADJUSTMENTS <> 0"), inv.filter("hour(DATINVOICEDATE) > 0"),
+    ):
+        assert rows.count() > 0
+    assert {r.n for r in inv.selectExpr("length(TXTINVOICE) n").distinct().collect()} == {7, 8, 9}
+    assert {r.p for r in inv.selectExpr("substr(TXTINVOICE, 1, 2) p").distinct().collect()} == {"FI", "QX"}
+
+
+def test_long_order_keys_keep_their_digits(spark):
+    from ledgermatch.sources.fixtures import _invoice_no
+
+    keys = [100, 200, 1234567, 12345678, 1234567890, 101, 10000100]
+    got = [r.n for r in spark.createDataFrame([(k,) for k in keys], "k long").select(_invoice_no(F.col("k")).alias("n")).collect()]
+    assert got == ["FI00100", "FI0000200", "FI1234567", "FI12345678", "FI1234567890", "QX000101", "FI10000100"]
 
 
 def test_report_shape(run):
     rep = run.report
     assert len(rep.columns) == 46
-    assert rep.count() == 149
+    assert rep.count() == 131
     assert rep.columns[:3] == ["TranID", "IndexCode", "FUND"]
     assert rep.columns[-6:] == ["InvNumMatch", "FOAPALmatches", "AmtMatch", "DateMatch", "DebitMatches", "DebitDetails"]
 
@@ -48,7 +66,7 @@ def test_prematch_skip_does_not_change_result(sources, cfg, run):
 
 
 def test_raising_threshold_only_removes_rows(sources, cfg, run):
-    hi = run_match(sources, cfg.with_(threshold=9), persist=False).scored.select(*PAIR_KEY)
+    hi = run_match(sources, cfg.with_(threshold=9)).scored.select(*PAIR_KEY)
     assert hi.count() < run.scored.count()
     assert hi.exceptAll(run.scored.select(*PAIR_KEY)).count() == 0
 
@@ -60,16 +78,25 @@ def test_no_open_invoices_gives_empty_report(sources, cfg):
         invoice_lines=sources.invoice_lines,
         transactions=sources.transactions,
     )
-    r = run_match(closed, cfg, persist=False)
+    r = run_match(closed, cfg)
     assert r.report.count() == 0
 
 
-def test_ranking_and_sort_share_one_exchange(run):
-    run.report.collect()
-    plan = run.report._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert final.count("Exchange rangepartitioning(TRANDATE") == 1
-    assert "hashpartitioning(TranID" not in final
+def test_ranking_takes_one_exchange(run):
+    run.ranked.collect()
+    plan = run.ranked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(TranID") == 1
+
+
+def test_building_submits_few_jobs_and_caches_nothing(spark, sources, cfg):
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        run_match(sources, cfg)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+    assert len(jobs) <= 28, len(jobs)
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
 def test_prefilter_excludes_null_and_listed_accounts(run):
@@ -174,14 +201,120 @@ def test_debit_offsets(spark, cfg, scored_schema):
     assert ann == {1: (1, "2026-01-10 - "), 3: (2, "Various"), 7: (None, None)}
 
 
-def test_shuffled_path_gives_same_result(sources, cfg, run):
-    """No broadcast at all (bound 0): every join runs shuffled, same answer."""
+@pytest.fixture
+def no_broadcasts(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    yield
+    for n in names:
+        spark.conf.unset(n)
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffled_path_gives_same_result(sources, cfg, run, no_broadcasts):
+    """No broadcast anywhere: every join runs shuffled, same answer."""
     big = run_match(sources, cfg.with_(broadcast_max_rows=0, skip_redundant_prematch=False))
+    for df in (big.signals, big.pairs, big.annotated):
+        plan = _final_plan(df)
+        assert "Broadcast" not in plan and ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan)
     a, b = run.report, big.report
     assert b.count() == a.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_signals_answer_each_row_whatever_the_size(spark, sources, cfg, no_broadcasts):
+    """Repeated and NULL ids: the flags belong to rows, in either path."""
+    from ledgermatch.operators.signals import with_signal_flags
+    from ledgermatch.operators.transactions import select_transactions
+    from ledgermatch.plans.pipeline import build_open_lines
+
+    ol = build_open_lines(sources, cfg)
+    tx = sources.transactions.withColumn("TranID", F.when(F.col("TranID") % 3 > 0, F.col("TranID") % 5))
+    flags = ["TranID", "DOCREFNUM", "SEQNUMBER", "amt_flag", "code_flag", "fi_flag"]
+    pre = select_transactions(tx, ol, cfg)
+    small = with_signal_flags(pre, ol, cfg).select(*flags)
+    large = with_signal_flags(pre, ol, cfg.with_(broadcast_max_rows=0))
+    plan = _final_plan(large)
+    assert "Broadcast" not in plan
+    assert "BroadcastHashJoin" in _final_plan(small)
+    large = large.select(*flags)
+    assert 0 < small.filter("code_flag").count() < small.count()
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+
+
+def test_repeated_id_is_one_group(spark, cfg, scored_schema):
+    """The report numbers the rows of an id, even where they bear different dates."""
+    rows = [dict(TranID=1, TXTINVOICE="A", FoapalLineID=1, InvLineScore=9, TRANDATE=T0),
+            dict(TranID=1, TXTINVOICE="B", FoapalLineID=2, InvLineScore=8, TRANDATE=T0 + dt.timedelta(days=1))]
+    ranked = rank_matches(matched_results(_scored(spark, scored_schema, rows), cfg)).collect()
+    assert sorted((r.TXTINVOICE, r.TranGroupLine, r.InvMatch) for r in ranked) == [("A", 1, 1), ("B", 2, 2)]
+
+
+def test_report_order_at_scale(spark, cfg, tmp_path):
+    """The written report, read back, stands in the order of its sort keys."""
+    from ledgermatch.sources import derive_sources
+
+    rep = match_report(run_match(derive_sources(spark, "/root/testdata/sf0.01", cfg), cfg).annotated, with_sort_keys=True)
+    rep.write.parquet(str(tmp_path / "report"))
+    rows = []
+    for part in sorted((tmp_path / "report").glob("part-*")):
+        rows += spark.read.parquet(str(part)).coalesce(1).collect()
+    assert len(rows) > 500
+
+    def key(r):
+        return (-r.sort_TRANDATE.timestamp(), r.sort_TranID, -r.sort_InvGroupScore, r.sort_TXTINVOICE, -r.sort_InvLineScore,
+                r.sort_FoapalLineID is None, r.sort_FoapalLineID or 0)
+
+    assert [key(r) for r in rows] == sorted(key(r) for r in rows)
+    # A transaction's and an invoice's values stand on the first row of each group only.
+    groups = [r.sort_TranID for r in rows]
+    assert [r.TranID is not None for r in rows] == [i == 0 or groups[i - 1] != g for i, g in enumerate(groups)]
+
+
+RENAMED = {"ID": "TranID", "AMT": "AMOUNT", "WHEN": "TRANDATE", "CLASS": "RUCL_CODE", "ACCOUNT": "ACCT"}
+
+
+@pytest.mark.parametrize("money", ["decimal(12,2)", "decimal(18,2)"])
+def test_raw_ledger_with_its_own_names(spark, sources, cfg, run, tmp_path, money):
+    from ledgermatch.operators.transactions import select_transactions
+    from ledgermatch.plans.pipeline import build_open_lines
+    from ledgermatch.sources import conform, read_sources
+
+    c = cfg.with_(money_type=money)
+    own = {new: old for old, new in RENAMED.items()}
+    paths = {}
+    for name in ("invoices", "invoice_headers", "invoice_lines", "transactions"):
+        df = conform(getattr(sources, name), name, c)
+        if name == "transactions":
+            df = df.toDF(*[own.get(x, x) for x in df.columns])
+        paths[name] = str(tmp_path / name)
+        df.write.parquet(paths[name])
+    spark.read.parquet(paths["invoice_lines"]).createOrReplaceTempView("ledger_lines")
+    paths["invoice_lines"] = "table:ledger_lines"
+    src = read_sources(spark, paths, cfg=c, colmaps={"transactions": RENAMED})
+    report = run_match(src, c, check_inputs=True).report
+    same = [x for x in report.columns if x not in ("AMOUNT",)]
+    assert report.select(*same).exceptAll(run.report.select(*same)).count() == 0
+    assert report.count() == run.report.count()
+
+    # The same from the raw table itself, with predicates pushed under its own names.
+    raw = spark.read.parquet(paths["transactions"])
+    ol = build_open_lines(src, c)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = select_transactions(raw, ol, c, colmap=RENAMED).select("TranID")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.find("PushedFilters"):]
+    pushed = pushed[: pushed.find("ReadSchema")]
+    assert "GreaterThanOrEqual(WHEN" in pushed and "In(CLASS" in pushed and "ACCOUNT,A11" in pushed
+
+
 def test_input_order_does_not_change_report(sources, cfg, run):
     shuffled = Sources(
         invoices=sources.invoices.repartition(7),
@@ -189,7 +322,7 @@ def test_input_order_does_not_change_report(sources, cfg, run):
         invoice_lines=sources.invoice_lines.orderBy(F.rand(7)),
         transactions=sources.transactions.orderBy(F.rand(11)),
     )
-    other = run_match(shuffled, cfg, persist=False).report
+    other = run_match(shuffled, cfg).report
     assert other.exceptAll(run.report).count() == 0 and run.report.exceptAll(other).count() == 0
 
 

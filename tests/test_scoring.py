@@ -31,7 +31,7 @@ def scored(spark, cfg):
         tx(7, "7.00", T0 + DAY, None, fund="X", orgn="X", acct="X", prog="X", actv="V1", locn="L1"),
     ]
     s = sources(spark, invs, lines, txs)
-    run = run_match(s, cfg.with_(threshold=1, excluded_accounts=()), persist=False)
+    run = run_match(s, cfg.with_(threshold=1, excluded_accounts=()))
     return {r.TranID: r for r in run.scored.collect()}
 
 
