@@ -70,15 +70,16 @@ class Grams:
         if self.symbol is None:
             self._prepare()
         found = []
-        points = code_points(text)
+        last = np.array([_BOUNDARY], dtype=np.int32)
         step = 1 << 18
-        for at in range(0, len(points), step):
-            s = self.symbol[points[max(0, at - 2) : at + step]].astype(np.int32)
-            s = np.r_[_BOUNDARY, s, _BOUNDARY]
+        for at in range(0, len(text), step):
+            s = self.symbol[code_points(text[at : at + step])].astype(np.int32)
+            s = np.r_[last, s, [_BOUNDARY]] if at + step >= len(text) else np.r_[last, s]
             s = s[np.r_[True, (s[1:] != _BOUNDARY) | (s[:-1] != _BOUNDARY)]]
             two = s[:-1] * self.base + s[1:]
             codes = np.concatenate([s, self.base + two, self.base + self.base**2 + two[:-1] * self.base + s[2:]])
             found.append(self._once(codes))
+            last = s[-2:]
         if not found:
             return np.zeros(0, dtype=np.int32)
         return found[0] if len(found) == 1 else self._once(np.concatenate(found))

@@ -210,11 +210,9 @@ def _case(raw: str, text: str) -> str:
     letters = [c for c in raw if c.isalpha()]
     if letters and all(c.isupper() for c in letters) and len(letters) > 1:
         return text.upper()
-    if raw[:1].isupper() and (len(letters) < 2 or letters[1].islower()):
-        return text[:1].upper() + text[1:]
-    if len(raw) == len(text) and any(c.isupper() for c in letters):
+    if len(raw) == len(text):
         return "".join(t.upper() if r.isupper() else t for r, t in zip(raw, text, strict=True))
-    return text
+    return text[:1].upper() + text[1:] if raw[:1].isupper() else text
 
 
 @lru_cache(maxsize=1 << 16)

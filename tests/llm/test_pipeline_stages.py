@@ -1,0 +1,106 @@
+"""The pipeline, stage by stage, against plain versions of its operators."""
+
+import re
+
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from ledgermatch.llm import bpe, quality_gbt
+from ledgermatch.llm.common import read_table
+
+from .test_simhash import plain_components, plain_fingerprint
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """What each stage was given and returned, written and read again in between."""
+    docs, out = read_table(spark, SF, "documents"), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path_factory.mktemp("stage") / str(k))
+        stage(spark, docs, SF).write.parquet(path)
+        done = spark.read.parquet(path)
+        out.append((name, docs.collect(), done.collect(), docs.columns, done.columns))
+        docs = done
+    return out
+
+
+def test_columns(stages):
+    for _, _, _, before, after in stages[:-1]:
+        assert before == after == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert len(stages) == 5
+
+
+def test_quality_keeps_whole_good_rows(spark, stages):
+    _, before, after, _, _ = stages[0]
+    docs = read_table(spark, SF, "documents")
+    model = quality_gbt.train_quality(docs, read_table(spark, SF, "labels"))
+    good = {r.doc_id for r in quality_gbt.score_quality(docs, model, keep=["doc_id"]).collect() if r.score >= 0.5}
+    assert sorted(map(tuple, after)) == sorted(tuple(r) for r in before if r.doc_id in good)
+    label = {r.doc_id: r.quality for r in read_table(spark, SF, "labels").collect()}
+    kept = {r.doc_id for r in after}
+    assert sum((d in kept) != bool(q) for d, q in label.items()) <= 0.03 * len(label)
+
+
+def test_exact(stages):
+    _, before, after, _, _ = stages[1]
+    first = {}
+    for r in sorted(before, key=lambda r: r.doc_id):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), tuple(r))
+    assert sorted(map(tuple, after)) == sorted(first.values())
+
+
+def test_near(stages):
+    _, before, after, _, _ = stages[2]
+    prints = {r.doc_id: plain_fingerprint(r.text) for r in before}
+    comp, head = plain_components(prints.values()), {}
+    for d, p in sorted(prints.items()):
+        head.setdefault(comp[p], d)
+    assert sorted(map(tuple, after)) == sorted(tuple(r) for r in before if r.doc_id in set(head.values()))
+
+
+def test_mix(stages):
+    from .test_mixing import plain_targets, words
+
+    _, before, after, _, _ = stages[3]
+    sizes, taken, text = {}, {}, {r.doc_id: r for r in before}
+    for r in before:
+        sizes[r.source] = sizes.get(r.source, 0) + len(words(r.text))
+    copies = {}
+    for r in after:
+        taken[r.source] = taken.get(r.source, 0) + len(words(r.text))
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+        assert r.source == text[r.doc_id].source and r.n_chars == len(r.text)
+    want = plain_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want) and max(copies.values()) <= 2
+    # Whole documents but for one at the end of a source's share.
+    assert sum(r.text != text[r.doc_id].text for r in after) <= len(sizes)
+
+
+def test_encoding(stages):
+    import hashlib
+    import struct
+
+    _, before, after, _, _ = stages[4]
+    enc = bpe.load_encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = []
+    for r in before:
+        ids = enc.encode_ordinary(r.text)
+        want.append((r.doc_id, len(ids), struct.pack(f"<{len(ids)}I", *ids), hashlib.sha256(r.text.encode()).hexdigest()))
+    assert sorted((r.doc_id, r.n_tokens, bytes(r.token_ids), r.decoded_sha256) for r in after) == sorted(want)
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    key = lambda r: (r.doc_id, r.n_tokens, bytes(r.token_ids))
+    assert sorted(map(key, rows)) == sorted(map(key, stages[-1][2]))
+
+
+def test_stages_on_edges(spark, edge_docs, no_docs):
+    for docs in (edge_docs, no_docs):
+        docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, docs, SF)
+            assert docs is not None and out.count() <= 2 * docs.count()

@@ -102,7 +102,7 @@ def _record(payload=b"<p>common words</p>", **change):
 @pytest.mark.parametrize(
     "change",
     [
-        (b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: 2", b"Content-Length: 9"), (b"WARC-Date", b"X-Date"),
+        (b"WARC/1.1", b"WARC/9.9"), (b"\r\nContent-Length: ", b"\r\nContent-Length: 1"), (b"WARC-Date", b"X-Date"),
         (b"common", b"COMMON"), (b"\r\n\r\n", b"\r\n"), (b"WARC-Type: response", b"WARC-Type: other"),
         (b"WARC-Date: ", b"WARC-Type: "), (b"WARC-Date: ", b"WARC-Date "), (b"Content-Length: 19", b"Content-Length: 18"),
     ],
