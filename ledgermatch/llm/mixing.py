@@ -75,8 +75,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 @dataclass
 class Mix:
-    """``documents``: (rid, doc_id, text_hash, source, size); ``targets``: see source_targets;
-    ``schedule``: (slot, place, rank); ``pieces``: (rid, place, epoch, block, start, words), ``start`` counting from the document's first word."""
+    """``documents``: (rid, doc_id, text_hash, digest, source, size); ``targets``: see source_targets;
+    ``schedule``: (slot, place, rank); ``pieces``: (rid, place, epoch, rank, start, words), ``start`` counting from the document's first word."""
 
     documents: DataFrame
     targets: DataFrame
@@ -90,8 +90,9 @@ class Mix:
 
 
 def _running(rows: DataFrame, group: list[str], order: str, value: str, name: str, buckets: int) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the group's rows with a smaller ``order`` (unsigned hash bits, ties by rid)."""
-    rows = rows.withColumn("_bucket", F.expr(f"shiftrightunsigned({order}, 32) * {buckets}L div 4294967296L"))
+    """Add ``name``: the sum of ``value`` over the group's rows with a smaller ``order`` (hexadecimal digests, ties by rid)."""
+    lead = F.conv(F.substring(order, 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("_bucket", F.floor(lead * buckets / F.lit(1 << 32)))
     inside = Window.partitionBy(*group, "_bucket").orderBy(order, "rid").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
     across = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,6 +113,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).alias("doc_id"),
         text_hash(text_col).alias("text_hash"),
+        F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
     )
@@ -163,8 +165,10 @@ def _pieces(documents: DataFrame, lines: DataFrame, block: int, buckets: int, se
     """Cut each source's shuffled line of words into blocks (rid, place, epoch, rank, start, words)."""
     epochs = F.explode(F.expr("sequence(0L, greatest(taken - 1, 0) div source_size)"))
     lined = documents.filter("size > 0").join(lines.filter("taken > 0"), documents["source"].eqNullSafe(lines["source"]))
-    lined = lined.select("rid", "size", "place", "source_size", "taken", epochs.alias("epoch"))
-    lined = lined.withColumn("shuffle", F.xxhash64(F.lit(seed), "epoch", "rid"))
+    lined = lined.select("rid", "doc_id", "digest", "size", "place", "source_size", "taken", epochs.alias("epoch"))
+    # By id and text, so that the order is the same wherever the rows come from.
+    shuffle = F.md5(F.concat_ws("#", F.lit(seed).cast("string"), F.col("epoch").cast("string"), F.col("doc_id").cast("string"), "digest"))
+    lined = lined.withColumn("shuffle", shuffle).drop("doc_id", "digest")
     laid = _running(lined, ["place", "epoch"], "shuffle", "size", "offset", buckets)
     laid = laid.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("offset")).filter("at < taken")
     laid = laid.withColumn("stop", F.least(F.col("at") + F.col("size"), "taken"))

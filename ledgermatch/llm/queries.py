@@ -103,6 +103,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_zstd": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        g AS (SELECT *, strlen(body) AS n, min(page_id) OVER (PARTITION BY body) AS head FROM p)
+        SELECT page_id, n AS payload_bytes, sha256(body) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> head THEN head END AS refers_to, CAST(NULL AS VARCHAR) AS error
+        FROM g
+    """,
+    # A source is full if what all would take at its own level falls short of the mix.
+    "op5_source_mix": """
+        WITH d AS (
+          SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+          FROM documents
+        ),
+        s AS (
+          SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+                 [3.0::DOUBLE, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+          FROM d GROUP BY source
+        ),
+        f AS (
+          SELECT a.source, a.source_size, a.cap, a.weight,
+                 sum(least(b.weight * a.cap / a.weight, b.cap)) < 1.5::DOUBLE * sum(b.source_size) AS is_full
+          FROM s a, s b GROUP BY ALL
+        ),
+        t AS (
+          SELECT source, source_size,
+                 CASE WHEN is_full THEN cap ELSE (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) FILTER (is_full) OVER (), 0))
+                   / (sum(weight) FILTER (NOT is_full) OVER ()) * weight END AS target
+          FROM f
+        ),
+        laid AS (
+          SELECT doc_id, size, target, source_size, rid, epoch * source_size + coalesce(sum(size) OVER (
+                   PARTITION BY x.source, epoch ORDER BY md5(concat_ws('#', '11', epoch, doc_id, digest)), rid
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word
+          FROM (SELECT *, row_number() OVER () AS rid FROM d) x JOIN t ON t.source IS NOT DISTINCT FROM x.source, (VALUES (0), (1)) AS e(epoch)
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(sum(greatest(least(first_word + size, floor(target)) - first_word, 0)) AS BIGINT) AS taken
+        FROM laid GROUP BY rid, doc_id, size, source_size, target
+    """,
     "op9_block_naming": """
         WITH d AS (
           SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents
