@@ -23,8 +23,8 @@ INVOICE_PREFIX = "FI"
 OTHER_PREFIX = "QX"
 # Least number of digits after the prefix, by order key modulo 300; else 6.
 INVOICE_WIDTHS = {100: 5, 200: 7}
-# An invoice line's id is its order key times this, plus its rank.
-LINE_SPAN = 1_000_000
+# An invoice line's id is its order key times this (odd, so that its remainders vary), plus its rank.
+LINE_SPAN = 1_000_001
 # --- end of fixed values ---
 
 

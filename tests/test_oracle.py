@@ -42,4 +42,4 @@ def test_query_without_broadcasts_matches_oracle(spark, key, monkeypatch):
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert len(df.columns) == 46
-    assert df.count() == 131
+    assert df.count() == 137

@@ -24,9 +24,9 @@ def run(sources, cfg):
 def test_fixture_counts(run):
     # Counts of the sf0.001 fixture (FIXTURES.md section 3).
     assert run.open_lines.count() == 84
-    assert run.prefiltered.count() == 4938
-    assert run.scored.count() == 146
-    assert run.scored.filter("DCIND = 'C'").count() == 131
+    assert run.prefiltered.count() == 5810
+    assert run.scored.count() == 178
+    assert run.scored.filter("DCIND = 'C'").count() == 137
 
 
 def test_fixture_holds_every_rule(sources, run):
@@ -53,7 +53,7 @@ def test_long_order_keys_keep_their_digits(spark):
 def test_report_shape(run):
     rep = run.report
     assert len(rep.columns) == 46
-    assert rep.count() == 131
+    assert rep.count() == 137
     assert rep.columns[:3] == ["TranID", "IndexCode", "FUND"]
     assert rep.columns[-6:] == ["InvNumMatch", "FOAPALmatches", "AmtMatch", "DateMatch", "DebitMatches", "DebitDetails"]
 
