@@ -253,7 +253,8 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
         for b in batches:
             kinds, canons, tries = (b.column(c).to_pylist() for c in ("kind", "canon", "attempt"))
             made = [surrogate(key, k, c, a) for k, c, a in zip(kinds, canons, tries, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "canon", "attempt")), pa.array(made, pa.string())], names=["kind", "canon", "attempt", "surrogate"])
+            names = ["kind", "canon", "attempt"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(made, pa.string())], names=[*names, "surrogate"])
 
     schema = "kind string, canon string, attempt int, surrogate string"
     pending = entities.select("kind", "canon", F.lit(0).alias("attempt"))
@@ -289,7 +290,10 @@ def surrogate_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", tex
     per_doc = found.join(later, ["kind", "canon"]).groupBy("_key", "_hash").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("_others"))
     per_doc = materialize(per_doc, "pii-exceptions")
     rows = keyed_rows(docs, id_col, text_col)
-    rows = rows.withColumn("_others", F.lit(None).cast(per_doc.schema["_others"].dataType)) if per_doc.isEmpty() else rows.join(per_doc, ["_key", "_hash"], "left")
+    if per_doc.isEmpty():
+        rows = rows.withColumn("_others", F.lit(None).cast(per_doc.schema["_others"].dataType))
+    else:
+        rows = rows.join(per_doc, ["_key", "_hash"], "left")
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = docs.columns.index(text_col)
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))

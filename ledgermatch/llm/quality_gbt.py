@@ -91,7 +91,6 @@ def fit_trees(
             g_all = np.bincount(slot, grad, width)
             h_all = np.bincount(slot, hess, width)
             best = np.full(width, 1e-6)
-            split = np.full(n, np.inf)
             for j, e in enumerate(edges):
                 if not len(e):
                     continue

@@ -286,9 +286,10 @@ def fingerprint_links(codes: DataFrame, radius: int = RADIUS, leaf: int = LEAF)
             if not batch.num_rows:
                 continue
             # Rows of the batch's last leaf wait for the next batch.
-            last = _leaf_ids(batch)
-            start = int(np.flatnonzero(last != last[-1])[-1]) + 1 if (last != last[-1]).any() else 0
-            if held and _leaf_ids(held[-1])[-1] != last[0]:
+            ids = _leaf_ids(batch)
+            others = np.flatnonzero(ids != ids[-1])
+            start = int(others[-1]) + 1 if len(others) else 0
+            if held and _leaf_ids(held[-1])[-1] != ids[0]:
                 yield _links(pa.Table.from_batches(held), radius)
                 held = []
             if start:
