@@ -1,8 +1,8 @@
 """Exact duplicates by deterministic block naming.
 
 White space is normalised, the UTF-8 bytes are cut into fixed-size blocks, the
-distinct blocks of the whole corpus are sorted and get integer names in that
-order.  Then adjacent names of a document are paired, the distinct pairs are
+distinct blocks of the whole corpus are dealt out, sorted and given integer
+names in that order.  Then adjacent names of a document are paired, the distinct pairs are
 sorted and named, and so on until every document has one name.  Two documents
 have the same number of blocks and the same final name exactly if their
 normalised texts are equal: names stand for contents, not for hashes of them.
@@ -41,6 +41,17 @@ def _blocks(docs: DataFrame, text_col: str, size: int, digest: Callable[[Column]
     return body.select(*kept, F.inline(cut)).withColumn("h", digest(F.col("block")))
 
 
+def _sorted_names(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., name): an integer for each distinct key, in sorted order within each partition.
+
+    Repeats are combined before the shuffle.  The partition number leads the
+    name, so names need no sort across partitions, whose sampled bounds would
+    bring whole blocks to the driver.
+    """
+    distinct = rows.select(*keys).distinct().sortWithinPartitions(*keys)
+    return distinct.withColumn("name", F.monotonically_increasing_id())
+
+
 def block_identity(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -50,10 +61,7 @@ def block_identity(
 ) -> DataFrame:
     """One row per document row: (rid, doc_id, text_hash, text_sha256, n_blocks, name)."""
     plain = _blocks(docs, text_col, block_bytes, digest, [])
-    named = plain.select("h", "block").distinct().orderBy("block").select(
-        "h", F.monotonically_increasing_id().alias("name")
-    )
-    named = materialize(named, "block-names")
+    named = materialize(_sorted_names(plain, ["h", "block"]).select("h", "name"), "block-names")
     shared = materialize(named.groupBy("h").count().filter("count > 1").select("h"), "block-shared-hashes")
 
     carry = [
@@ -66,8 +74,8 @@ def block_identity(
     if shared.isEmpty():
         found = found.withColumn("name", F.lit(None).cast("long"))
     else:
-        own = plain.join(shared, "h", "left_semi").select("h", "block").distinct().orderBy("block")
-        own = materialize(own.select("h", "block", (-1 - F.monotonically_increasing_id()).alias("name")), "block-shared-names")
+        own = _sorted_names(plain.join(shared, "h", "left_semi"), ["h", "block"])
+        own = materialize(own.withColumn("name", -1 - F.col("name")), "block-shared-names")
         found = found.join(own, ["h", "block"], "left")
         named = named.join(shared, "h", "left_anti")
     found = materialize(found.select("rid", "doc_id", "text_hash", "text_sha256", "n", "pos", "h", "name"), "block-occurrences")
@@ -84,8 +92,7 @@ def block_identity(
             ),
             "block-pairs",
         )
-        names = pairs.select("one", "two").distinct().orderBy("one", "two")
-        names = materialize(names.withColumn("name", F.monotonically_increasing_id()), "pair-names")
+        names = materialize(_sorted_names(pairs, ["one", "two"]), "pair-names")
         met = (pairs["one"] == names["one"]) & pairs["two"].eqNullSafe(names["two"])
         rows = pairs.join(names, met).select(
             "rid", "pos", "n", F.ceil(F.col("left_over") / 2).cast("int").alias("left_over"), "name"
@@ -108,6 +115,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialize(block_identity(docs, id_col, text_col, **options), "block-identities")
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "rid")
     groups = rows.groupBy("n_blocks", "name").agg(F.min(order).alias("head"), F.count("*").alias("group_size"))
+    # A table of its own: the join then reads plain shuffles, and Spark splits a hot group's rows.
+    groups = materialize(groups, "block-groups")
     return rows.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("head.doc_id").alias("keep_id"),
