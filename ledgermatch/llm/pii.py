@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -60,12 +61,17 @@ _TITLE_NAMES = "|".join(regex.escape(t) for g in TITLES.values() for t in sorted
 _GENDER = {t.casefold(): g for g, titles in TITLES.items() for t in titles}
 _PERSON = regex.compile(rf"(?<!\w)(?P<title>(?i:{_TITLE_NAMES}))\.?[  ](?P<name>\p{{Lu}}[\p{{L}}’']+(?:[ -]\p{{Lu}}[\p{{L}}’']+){{0,2}})")
 _EMAIL = regex.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,6}\p{L}{2,24}")
+# A quoted value ends at its closing quote, another at white space, less the punctuation at its end.
 _SECRET = regex.compile(
-    r"(?i:pass(?:word|wd)|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;*#%&$!|]{6,256})"
+    r"(?i:pass(?:word|wd)|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
+    r"(?:(?P<quote>[\"'])(?P<value>(?:\\.|(?!(?P=quote))[^\\])*+)(?P=quote)|[\"']?(?P<value>\S++))",
+    regex.DOTALL,
 )
+_PUNCTUATION = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] == "P")
+SECRET_LEAST = 6
 _NUMBERS = regex.compile(
-    r"(?P<key>(?<![A-Za-z0-9])AKIA[A-Z0-9]{12,20}(?![A-Za-z0-9]))"
-    r"|(?P<hex>(?<![A-Za-z0-9])(?=[a-fA-F]{0,63}\d)[0-9a-fA-F]{32,128}(?![A-Za-z0-9]))"
+    r"(?P<key>(?<![A-Za-z0-9])AKIA[A-Z0-9]{12,}+(?![A-Za-z0-9]))"
+    r"|(?P<hex>(?<![A-Za-z0-9])(?=[a-fA-F]*+\d)[0-9a-fA-F]{32,}+(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -117,7 +123,11 @@ def detect(text: str | None) -> list[Entity]:
             add("email", *m.span())
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            add("secret", *m.span("value"))
+            start, stop = m.span("value")
+            if m["quote"] is None:
+                stop = start + len(m["value"].rstrip(_PUNCTUATION))
+            if stop - start >= SECRET_LEAST:
+                add("secret", start, stop)
     if regex.search(r"\d", text):
         for m in _NUMBERS.finditer(text):
             kind = m.lastgroup
@@ -132,6 +142,9 @@ def detect(text: str | None) -> list[Entity]:
     found.sort(key=lambda e: (e[0], -e[1]))
     out: list[Entity] = []
     for e in found:
+        if out and out[-1][0] < e[0] < out[-1][1] < e[1] and out[-1][2] == "secret":
+            # A number with blanks that begins inside an unquoted value: both are replaced.
+            out[-1] = (out[-1][0], e[0], "secret", canonical("secret", text[out[-1][0] : e[0]]))
         if not out or e[0] >= out[-1][1]:
             out.append(e)
     return out

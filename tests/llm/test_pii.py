@@ -109,3 +109,40 @@ def test_query_leaves_no_entity(spark, spark_sf):
             assert mapping.setdefault((a[2], a[3]), b[3]) == b[3]
     assert len(mapping) > 50 and len({(k, v) for (k, _), v in mapping.items()}) == len(mapping)
     assert not {v for v in mapping.values()} & {c for _, c in mapping}
+
+
+@pytest.mark.parametrize(
+    "text,secret",
+    [
+        ("token=" + "aB3-_.x9" * 250 + " end", "aB3-_.x9" * 250),
+        ("pwd=Summer2024!x9 ok", "Summer2024!x9"),
+        ("pwd=abc!defgh123, ok", "abc!defgh123"),
+        ("password: a$b!c#d%e&f.", "a$b!c#d%e&f"),
+        ('{"password": "two words, \\"q\\" & $5!"}', 'two words, \\"q\\" & $5!'),
+        ("secret='unclosed!value9 tail", "unclosed!value9"),
+        ("see " + "0f" * 1000 + " end", "0f" * 1000),
+        ("see " + "a" * 100 + "1" + " end", "a" * 100 + "1"),
+    ],
+)
+def test_secrets_are_whole(text, secret):
+    assert found(text) == [("secret", secret)]
+    new, spans = pii.replace_entities(text, KEY, {})
+    at = text.index(secret)
+    assert [(s["start"], s["stop"]) for s in spans] == [(at, at + len(secret))]
+    assert new[:at] == text[:at] and new[at + len(secret) :] == text[at + len(secret) :] and secret not in new
+
+
+def test_short_and_empty_values_stay():
+    assert found('password="abc",user pwd=abc12. token: ****** secret=""') == []
+
+
+def test_number_that_begins_in_a_secret():
+    assert found("pwd=abc123;call=+1 (743) 555-3824 x") == [("secret", "abc123;call="), ("phone", "+1 (743) 555-3824")]
+
+
+def test_many_unclosed_values_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    pii.detect("password=\"\\" * 50_000 + "token='" * 50_000 + "a" * 1_000_000)
+    assert time.perf_counter() - began < 5
