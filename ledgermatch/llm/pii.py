@@ -4,7 +4,9 @@ Detected entities are replaced by keyed surrogates of the same type and form:
 digits stay digits, separators and letter case stay, a valid card number stays
 valid, a person's name keeps its gender and script.  The surrogate is a
 function of key, type and the entity's canonical form, so one entity gets one
-surrogate in the whole corpus, however it is written.
+surrogate in the whole corpus, however it is written.  A name that follows a
+title once is replaced in the whole text.  The gender of a given name is part
+of its type: it is what the titles of the same text say.
 
 Distinctness is checked over the corpus with joins: no two entities of a type
 may share a surrogate and no surrogate may be an entity that occurs.  Of those
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -59,7 +62,11 @@ SYLLABLES = {
 
 _TITLE_NAMES = "|".join(regex.escape(t) for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
 _GENDER = {t.casefold(): g for g, titles in TITLES.items() for t in titles}
-_PERSON = regex.compile(rf"(?<!\w)(?P<title>(?i:{_TITLE_NAMES}))\.?[  ](?P<name>\p{{Lu}}[\p{{L}}’']+(?:[ -]\p{{Lu}}[\p{{L}}’']+){{0,2}})")
+_PERSON = regex.compile(
+    rf"(?<!\w)(?P<title>(?i:{_TITLE_NAMES}))(?:\.?[ \xa0](?P<title>(?i:{_TITLE_NAMES})))*\.?[ \xa0](?P<name>\p{{Lu}}[\p{{L}}’']+(?:[ -]\p{{Lu}}[\p{{L}}’']+){{0,2}})"
+)
+_CAPITALISED = regex.compile(r"(?<!\w)\p{Lu}[\p{L}’']++(?!\w)")
+_POSSESSIVE = regex.compile(r"[’'][sS]?\Z")
 _EMAIL = regex.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,6}\p{L}{2,24}")
 # A quoted value ends at its closing quote, another at white space, less the punctuation at its end.
 _SECRET = regex.compile(
@@ -109,6 +116,64 @@ def canonical(kind: str, raw: str) -> str:
     return raw.casefold()
 
 
+def _names(text: str) -> list[Entity]:
+    """Words of names after a title, and every other capitalised mention of these words.
+
+    The last of several words is a surname, and so is a single one that is not
+    known as a given name only.  A given name after a neutral title has the
+    gender known in this text for the whole name, else for the given name.
+    """
+    met = []
+    for m in _PERSON.finditer(text):
+        gender = next((g for t in m.captures("title") if (g := _GENDER[t.casefold()]) != "n"), "n")
+        words = [(m.start("name") + w.start(), _POSSESSIVE.sub("", w.group())) for w in regex.finditer(r"[^ -]+", m["name"])]
+        met.append((gender, [(at, w, w.casefold()) for at, w in words]))
+    if not met:
+        return []
+    met_whole = [(gender, words) for gender, words in met if len(words) > 1]
+    givens = {w[2] for _, words in met_whole for w in words[:-1]}
+    givens_only = givens - {words[-1][2] for _, words in met_whole}
+    genders: dict = {}
+    for gender, words in sorted(met, key=lambda x: len(x[1]) == 1):
+        if gender != "n":
+            for _, _, given in words[:-1] or words:
+                genders.setdefault((given, words[-1][2]), gender)
+                genders.setdefault(given, gender)
+
+    found: dict[int, Entity] = {}
+    known: dict = {}
+    for gender, words in met:
+        surname = words[-1][2]
+        for i, (at, word, canon) in enumerate(words):
+            role = "s"
+            if i < len(words) - 1 or len(words) == 1 and canon in givens_only:
+                role = gender if gender != "n" else genders.get((canon, surname)) or genders.get(canon, "n")
+            kind = f"name-{role}-{script_of(word)}"
+            found[at] = (at, at + len(word), kind, canon)
+            known.setdefault(canon, kind)
+            known.setdefault((canon, surname), kind)
+
+    mentions = list(_CAPITALISED.finditer(text))
+    for m, after in zip(mentions, [*mentions[1:], None], strict=True):
+        for at, word in _parts(m.start(), m.group()):
+            canon = word.casefold()
+            if canon in known and canon not in _GENDER:
+                beside = after and after.start() == m.end() + 1 and _POSSESSIVE.sub("", after.group()).casefold()
+                kind = known.get((canon, beside), known[canon])
+                found.setdefault(at, (at, at + len(word), kind, canon))
+                break
+    return list(found.values())
+
+
+def _parts(at: int, word: str) -> Iterator[tuple[int, str]]:
+    """The word without a possessive ending, then what stands between its apostrophes."""
+    yield at, _POSSESSIVE.sub("", word)
+    if "'" in word or "’" in word:
+        for m in regex.finditer(r"[^’']+", word):
+            if m.group()[0].isupper():
+                yield at + m.start(), m.group()
+
+
 def detect(text: str | None) -> list[Entity]:
     """Non-overlapping (start, stop, kind, canonical) in order; of overlapping ones the first, then the longest."""
     if not text:
@@ -132,13 +197,7 @@ def detect(text: str | None) -> list[Entity]:
         for m in _NUMBERS.finditer(text):
             kind = m.lastgroup
             add("secret" if kind in ("key", "hex") else kind, *m.span())
-    for m in _PERSON.finditer(text):
-        gender = _GENDER[m["title"].casefold()]
-        words = list(regex.finditer(r"[^ -]+", m["name"]))
-        for i, w in enumerate(words):
-            role = "s" if i == len(words) - 1 else gender
-            start = m.start("name") + w.start()
-            add(f"name-{role}-{script_of(w.group())}", start, start + len(w.group()))
+    found += _names(text)
     found.sort(key=lambda e: (e[0], -e[1]))
     out: list[Entity] = []
     for e in found:
