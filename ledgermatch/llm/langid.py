@@ -2,7 +2,8 @@
 
 k(x, y) counts the n-grams (n = 1 to 3, over letters and word boundaries of the
 lower-cased whole text) that occur in both, once each, normalised by the square
-roots of the texts' own counts.  Landmarks drawn per language give a Nyström
+roots of the texts' own counts.  ASCII letters and all characters beyond ASCII
+count as themselves; n-grams are numbered by a hash of their code points.  Landmarks drawn per language give a Nyström
 map of the kernel; kernel ridge regression on it is fitted one language against
 the rest.  As the kernel to a landmark is a product of presence vectors, map
 and weights multiply out to one weight per n-gram and language, and a batch of
@@ -24,9 +25,8 @@ from .common import materialize, split_remainder, with_text_columns
 #: Labelled documents per language for the ridge regression, and landmarks among them, at most.
 MAX_TRAIN_ROWS = 600
 LANDMARKS = 24
-#: Distinct characters that n-grams tell apart; the rarer ones of the landmarks count as one.
-ALPHABET = 125
-ORDERS = 3
+#: Bits of an n-gram's number.
+GRAM_BITS = 21
 RIDGE = 1e-2
 #: Longest text that teaches, and languages that are learned, at most.
 MAX_TRAIN_BYTES = 1 << 16
@@ -34,7 +34,9 @@ MAX_LANGUAGES = 500
 SEED = 43
 
 _LETTER = regex.compile(r"\p{L}")
-_BOUNDARY, _OTHER = 0, 1
+_BOUNDARY = 0
+#: Odd multipliers of the hash, by place from the end of the n-gram.
+_MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def has_letter(text: str | None) -> bool:
@@ -46,39 +48,44 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Grams:
-    """Numbers the n-grams of texts over a fixed alphabet."""
+    """Numbers the n-grams of texts by a hash of their code points, whatever the script."""
 
-    def __init__(self, alphabet: np.ndarray):
-        self.alphabet = alphabet
-        self.base = len(alphabet) + 2
+    size = 1 << GRAM_BITS
+
+    def __init__(self):
         self.symbol = None
         self.place = None
 
+    @property
+    def alphabet(self) -> np.ndarray:
+        """Code points that count as themselves; the others are boundaries."""
+        letters = [i for i in range(128) if chr(i).isalpha()]
+        return np.r_[np.array(letters, dtype=np.uint32), np.arange(0x80, 0x110000, dtype=np.uint32)]
+
     def _prepare(self):
-        self.symbol = np.full(0x110000, _BOUNDARY, dtype=np.uint8)
-        self.symbol[0x80:] = _OTHER
-        self.symbol[np.arange(128)[[chr(i).isalpha() for i in range(128)]]] = _OTHER
-        self.symbol[self.alphabet] = np.arange(2, self.base, dtype=np.uint8)
+        self.symbol = np.full(0x110000, _BOUNDARY, dtype=np.uint32)
+        self.symbol[self.alphabet] = self.alphabet
         self.place = np.zeros(self.size, dtype=np.int32)
 
-    @property
-    def size(self) -> int:
-        return self.base + self.base**2 + self.base**3
-
     def distinct(self, text: str) -> np.ndarray:
         """Numbers of the distinct n-grams of the whole text."""
         if self.symbol is None:
             self._prepare()
         found = []
-        last = np.array([_BOUNDARY], dtype=np.int32)
+        last = np.array([_BOUNDARY], dtype=np.uint32)
         step = 1 << 18
         for at in range(0, len(text), step):
-            s = self.symbol[code_points(text[at : at + step])].astype(np.int32)
-            s = np.r_[last, s, [_BOUNDARY]] if at + step >= len(text) else np.r_[last, s]
+            s = self.symbol[code_points(text[at : at + step])]
+            s = np.r_[last, s, [_BOUNDARY]].astype(np.uint32) if at + step >= len(text) else np.r_[last, s]
             s = s[np.r_[True, (s[1:] != _BOUNDARY) | (s[:-1] != _BOUNDARY)]]
-            two = s[:-1] * self.base + s[1:]
-            codes = np.concatenate([s, self.base + two, self.base + self.base**2 + two[:-1] * self.base + s[2:]])
-            found.append(self._once(codes))
+            # One more than the symbol, so that a boundary counts; sums of products differ by order and place.
+            one, two, three = ((s.astype(np.uint64) + np.uint64(1)) * m for m in _MULTIPLIERS)
+            pairs = two[:-1] + one[1:]
+            codes = np.concatenate([one, pairs, three[:-2] + pairs[1:]])
+            codes ^= codes >> np.uint64(32)
+            codes *= _MULTIPLIERS[0]
+            codes >>= np.uint64(64 - GRAM_BITS)
+            found.append(self._once(codes.astype(np.int32)))
             last = s[-2:]
         if not found:
             return np.zeros(0, dtype=np.int32)
@@ -91,7 +98,7 @@ class Grams:
         return codes[self.place[codes] == order]
 
     def __getstate__(self):
-        return {"alphabet": self.alphabet, "base": self.base, "symbol": None, "place": None}
+        return {"symbol": None, "place": None}
 
 
 @dataclass
@@ -130,14 +137,9 @@ def fit_languages(texts: list[str], langs: list[str], landmarks: int = LANDMARKS
     """Nyström landmarks: the first ``landmarks`` texts of each language; ridge regression on all texts."""
     names = sorted(set(langs))
     if not names:
-        return LanguageModel(Grams(np.zeros(0, np.uint32)), [], np.zeros((1, 0), np.float32), np.zeros(0, np.int32), np.zeros(0))
+        return LanguageModel(Grams(), [], np.zeros((1, 0), np.float32), np.zeros(0, np.int32), np.zeros(0))
     marks = [i for name in names for i in [j for j, g in enumerate(langs) if g == name][:landmarks]]
-    points = np.concatenate([np.unique(code_points(texts[i])) for i in marks])
-    chars, times = np.unique(points, return_counts=True)
-    letters = np.array([chr(c).isalpha() for c in chars], dtype=bool)
-    chars, times = chars[letters], times[letters]
-    alphabet = np.sort(chars[np.lexsort((chars, -times))[:ALPHABET]])
-    grams = Grams(alphabet)
+    grams = Grams()
     sets = [grams.distinct(t) for t in texts]
     known = np.unique(np.concatenate([sets[i] for i in marks]))
     column = np.full(grams.size, len(known), dtype=np.int32)

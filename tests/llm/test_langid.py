@@ -97,3 +97,50 @@ def test_held_out(spark, spark_sf):
     held = [r for r in rows if r.held_out]
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in held)
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
+
+
+SCRIPTS = {
+    "zh": ["我们今天去学校学习中文和历史", "他们在北京的公司里工作了很多年", "这个城市的人口比以前多了", "中国的历史很长文化也很丰富", "他今天在学校里学习历史"],
+    "ja": ["私たちは今日学校で日本語を勉強します", "彼は東京の会社で長い間働いています", "この町の人口は前より多くなりました", "日本の歴史はとても長いです", "彼は今日学校で歴史を勉強しています"],
+    "ko": ["우리는 오늘 학교에서 한국어를 공부합니다", "그는 서울의 회사에서 오랫동안 일했습니다", "이 도시의 인구는 전보다 많아졌습니다", "한국의 역사는 매우 깁니다", "그는 오늘 학교에서 역사를 공부합니다"],
+    "ru": ["мы сегодня идём в школу учить язык", "он много лет работал в компании в москве", "население этого города стало больше", "история россии очень длинная", "он сегодня учит историю в школе"],
+    "uk": ["ми сьогодні йдемо до школи вивчати мову", "він багато років працював у компанії в києві", "населення цього міста стало більшим", "історія україни дуже довга", "він сьогодні вивчає історію у школі"],
+    "el": ["σήμερα πηγαίνουμε στο σχολείο για να μάθουμε", "δούλεψε πολλά χρόνια στην εταιρεία στην αθήνα", "ο πληθυσμός της πόλης έγινε μεγαλύτερος", "η ιστορία της ελλάδας είναι μεγάλη", "σήμερα μαθαίνει ιστορία στο σχολείο"],
+    "ar": ["نذهب اليوم إلى المدرسة لنتعلم اللغة", "عمل سنوات كثيرة في الشركة في القاهرة", "أصبح عدد سكان هذه المدينة أكبر", "تاريخ مصر طويل جدا", "يتعلم اليوم التاريخ في المدرسة"],
+    "fa": ["ما امروز برای یادگیری زبان به مدرسه می رویم", "او سالهای زیادی در شرکت در تهران کار کرد", "جمعیت این شهر بیشتر شده است", "تاریخ ایران بسیار طولانی است", "او امروز در مدرسه تاریخ یاد می گیرد"],
+    "en": ["today we go to the school to learn the language", "he worked for many years in the company in london", "the number of people in this city has grown", "the history of england is very long", "today he learns history in the school"],
+    "de": ["heute gehen wir in die schule und lernen die sprache", "er hat viele jahre bei der firma in berlin gearbeitet", "die zahl der menschen in dieser stadt ist größer geworden", "die geschichte von deutschland ist sehr lang", "heute lernt er geschichte in der schule"],
+    "fr": ["aujourd'hui nous allons à l'école pour apprendre la langue", "il a travaillé de nombreuses années dans la société à paris", "le nombre de personnes dans cette ville a augmenté", "l'histoire de la france est très longue", "aujourd'hui il apprend l'histoire à l'école"],
+    "cs": ["dnes jdeme do školy učit se jazyk", "pracoval mnoho let ve firmě v praze", "počet lidí v tomto městě je větší", "historie české země je velmi dlouhá", "dnes se učí historii ve škole"],
+}
+
+
+def test_many_scripts():
+    """More letters than 125, the former bound; Chinese, Japanese and Korean among them."""
+    assert len({c for ts in SCRIPTS.values() for t in ts for c in t}) > 200
+    model = langid.fit_languages([t for ts in SCRIPTS.values() for t in ts[:4]], [g for g, ts in SCRIPTS.items() for _ in ts[:4]])
+    assert model.decide([ts[4] for ts in SCRIPTS.values()])[0] == list(SCRIPTS)
+
+
+def test_grams_of_rare_letters_differ(model):
+    a, b = (set(model.grams.distinct(t).tolist()) for t in ("学校で勉強", "회사에서 일"))
+    assert len(a & b) == 1  # the boundary
+    assert len(model.grams.distinct("".join(map(chr, range(0x4E00, 0x4E00 + 5000))))) > 14_900
+
+
+def test_scripts_of_rare_letters():
+    """Five scripts hold 140 frequent letters; the letters of three others are rare each, and have no blanks."""
+    rng = np.random.default_rng(5)
+    ranges = {"la": (0x61, 26), "ac": (0xE0, 23), "ru": (0x430, 32), "el": (0x3B1, 25), "ar": (0x628, 19), "he": (0x5D0, 27)}
+    rare = {"zh": [(0x4E00, 400)], "ko": [(0xAC00, 400)], "ja": [(0x4E00, 400), (0x3041, 80)]}
+
+    def text(g):
+        if g in ranges:
+            return " ".join("".join(chr(ranges[g][0] + i) for i in rng.permutation(ranges[g][1])[:13]) for _ in range(8))
+        spans = rare[g]
+        return "".join(chr(spans[i % len(spans)][0] + rng.integers(spans[i % len(spans)][1])) for i in range(60))
+
+    langs = [g for g in [*ranges, *rare] for _ in range(12)]
+    model = langid.fit_languages([text(g) for g in langs], langs)
+    asked = [g for g in [*ranges, *rare] for _ in range(10)]
+    assert model.decide([text(g) for g in asked])[0] == asked
