@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, split_remainder, with_text_columns
+from .common import materialize, split_remainder, text_hash, with_text_columns
 
 #: Labelled documents per language for the ridge regression, and landmarks among them, at most.
 MAX_TRAIN_ROWS = 600
@@ -172,9 +172,10 @@ def fit_languages(texts: list[str], langs: list[str], landmarks: int = LANDMARKS
 
 
 def train_languages(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on at most ``max_rows`` documents of each language, outside the held-out quarter, lowest id hashes first.
+    """Fit on at most ``max_rows`` ids of each language, outside the held-out quarter, lowest id hashes first.
 
-    The MAX_LANGUAGES most frequent languages are learned.  Counting them gives
+    An id that repeats within a language teaches with one of its texts.  The
+    MAX_LANGUAGES languages with most ids are learned.  Counting them gives
     each a hash threshold that lets about twice the wanted ids through, so that
     only a bounded remainder is ordered, and only its texts are fetched.
     """
@@ -182,17 +183,18 @@ def train_languages(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id_col: str
     usable = usable.filter(
         (split_remainder(F.col("_id"), 4) != 2) & F.col("_lang").isNotNull()
         & (F.octet_length("_text") <= MAX_TRAIN_BYTES) & F.col("_text").rlike(r"\p{L}")
-    )
+    ).withColumn("_hash", text_hash("_text"))
     span = 1 << 40
     order = F.pmod(F.xxhash64(F.lit(SEED), F.col("_id")), F.lit(span)).alias("_order")
-    narrow = materialize(usable.select("_id", "_lang", order), "language-ids")
+    one_each = usable.groupBy("_id", "_lang").agg(F.min("_hash").alias("_hash"))
+    narrow = materialize(one_each.select("_id", "_lang", "_hash", order), "language-ids")
     per_lang = narrow.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES)
     limit = F.least(F.lit(1.0), F.lit(2.0 * max_rows + 50) / F.col("count")) * float(span)
     near = narrow.join(F.broadcast(per_lang.select("_lang", limit.alias("_limit"))), "_lang").filter("_order < _limit")
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "_id"))
-    chosen = near.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows).select("_id", "_lang", "_rank")
-    met = usable.join(F.broadcast(chosen), ["_id", "_lang"])
-    sample = met.orderBy("_lang", "_rank", "_text").select("_text", "_lang").toPandas()
+    chosen = near.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows).select("_id", "_lang", "_hash", "_rank")
+    met = usable.join(F.broadcast(chosen), ["_id", "_lang", "_hash"]).select("_lang", "_rank", "_text").distinct()
+    sample = met.orderBy("_lang", "_rank", "_text").toPandas().drop_duplicates(["_lang", "_rank"])
     return fit_languages(sample["_text"].tolist(), sample["_lang"].tolist())
 
 

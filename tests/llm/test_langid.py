@@ -144,3 +144,23 @@ def test_scripts_of_rare_letters():
     model = langid.fit_languages([text(g) for g in langs], langs)
     asked = [g for g in [*ranges, *rare] for _ in range(10)]
     assert model.decide([text(g) for g in asked])[0] == asked
+
+
+def test_training_takes_one_text_of_each_id(make_docs, monkeypatch):
+    """Ids that hold most rows neither fill a language's places nor come as all pairs."""
+    words = ["the house", "a garden", "that king", "other thing"]
+    rows = [(1, f"{words[i % 4]} once {i}" if i % 2 else "the same text", "en") for i in range(400)]
+    rows += [(3, "das haus am see", "en")] * 300 + [(3, "das haus am see", "de")] * 300
+    rows += [(i, f"{words[i % 4]} by itself", "en") for i in range(1000, 1200)]
+    taken = {}
+    monkeypatch.setattr(langid, "fit_languages", lambda texts, langs: taken.update(texts=texts, langs=langs))
+    langid.train_languages(make_docs(rows), max_rows=100)
+    assert taken["langs"].count("en") == 100 and taken["langs"].count("de") == 1
+    of_one = {t for i, t, _ in rows if i == 1}
+    assert sum(t in of_one for t in taken["texts"]) <= 1
+    first = taken["texts"]
+    langid.train_languages(make_docs(rows[::-1]), max_rows=100)
+    assert taken["texts"] == first
+    langid.train_languages(make_docs(rows), max_rows=1000)
+    usable = {i for i in (1, *range(1000, 1200)) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert taken["langs"].count("en") == len(usable) + 1 and sum(t in of_one for t in taken["texts"]) == (1 in usable)
