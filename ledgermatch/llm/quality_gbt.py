@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, split_remainder, with_text_columns
+from .common import hash_sample, split_remainder, text_hash, with_text_columns
 from .textstats import COUNTS, batch_counts, with_counts
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
@@ -114,16 +114,18 @@ def fit_trees(
 
 
 def training_counts(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text"):
-    """(counts, label) of at most ``max_rows`` labelled documents outside the held-out third, on the driver.
+    """(counts, label) of at most ``max_rows`` labelled ids outside the held-out third, on the driver.
 
-    A document with several labels counts with the largest; NULL ids and labels teach nothing.
+    A document with several labels counts with the largest; a repeated id with
+    the text of the smallest hash; NULL ids and labels teach nothing.
     """
     usable = labels.filter((split_remainder(F.col("doc_id"), 3) != 1) & F.col(label_col).isNotNull())
     usable = usable.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     chosen = hash_sample(usable, "doc_id", max_rows, SEED).toDF("_id", "_label")
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    table = with_counts(picked, "_text", ["_id", "_label"]).toPandas()
-    table = table.sort_values(["_id", *COUNTS]).head(2 * max_rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), text_hash(text_col).alias("_hash"))
+    counted = with_counts(texts.join(F.broadcast(chosen), "_id"), "_text", ["_id", "_label", "_hash"])
+    one_each = counted.groupBy("_id", "_label").agg(*[F.min_by(c, "_hash").alias(c) for c in COUNTS])
+    table = one_each.toPandas().sort_values("_id")
     return table[COUNTS].to_numpy(np.int64).reshape(-1, len(COUNTS)), table["_label"].to_numpy(np.float64)
 
 

@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -131,3 +132,14 @@ def test_training_on_nothing(no_docs, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_gbt.train_quality(no_docs, labels).score(np.zeros((1, 13)))[0] == pytest.approx(0.5)
     assert decision_list.train_rules(no_docs, labels) == []
+
+
+def test_repeated_ids_teach_once(spark, make_docs):
+    """An id that holds most rows comes to the driver as one row, the same in any order."""
+    rows = [(1, " ".join(["word"] * (i % 50 + 1))) for i in range(2000)] + [(i, f"some text {i}") for i in range(2, 30)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    counts, y = quality_gbt.training_counts(make_docs(rows), labels, "quality", 25)
+    used = [i for i in range(1, 30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert 1 in used and len(y) == len(counts) == min(25, len(used))
+    again, _ = quality_gbt.training_counts(make_docs(rows[::-1]), labels, "quality", 25)
+    assert (counts == again).all()
