@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, decision_list, exact_dedup, langid, mixing, pii, quality_gbt, simhash, toxicity_cnn, warc
+    bpe, decision_list, exact_dedup, fim, hard_negatives, langid, mixing, packing, pii, quality_gbt, simhash, toxicity_cnn, warc
 )
 from .common import read_table, split_remainder
 
@@ -94,11 +94,40 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    vec_id, label = F.col("vec_id"), F.col("label")
+    vectors = vectors.withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine_hard_negatives(vectors, vec_id % 50 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.fim_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    restored = fim.restore_text(F.col("output"), F.col("form"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    capacity = packing.Capacity()
+    pieces = packing.tokenize_pieces(read_table(spark, sf_dir, "documents"), definition, capacity.longest)
+    digests = pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
+    placed = packing.pack_pieces(packing.numbered_pieces(digests), capacity)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_gbt, op2_warc_zstd, op3_pii_surrogates, op4_toxicity_cnn, op5_source_mix, op6_byte_bpe,
-        op7_language_kernel, op8_simhash_gray, op9_block_naming, op10_decision_list,
+        op7_language_kernel, op8_simhash_gray, op9_block_naming, op10_decision_list, op11_threshold_negatives,
+        op12_fill_in_middle, op13_vector_packing,
     )
 }
 
@@ -152,4 +181,52 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY body)
     """,
+    "op11_threshold_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 [floor(256 * x::DOUBLE) FOR x IN embedding] AS x
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ),
+        s AS (
+          SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+                 CAST(list_dot_product(a.x, r.x) AS BIGINT) AS score
+          FROM v a JOIN v r ON r.vec_id <> a.vec_id AND a.vec_id % 50 = 0
+        ),
+        p AS (
+          SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id,
+               positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+        QUALIFY rank <= 3
+    """,
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+                 regexp_extract_all(body, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+          FROM documents
+        ),
+        h AS (SELECT *, len(units) AS n, [('0x' || substr(digest, i, 8))::BIGINT FOR i IN [1, 9, 17, 25]] AS h FROM d),
+        c AS (
+          SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                 CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h[3] % 100 >= 50
+                      THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+          FROM h
+        ),
+        parts AS (
+          SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+                 array_to_string(units[b + 1:], '') AS suffix
+          FROM c
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(body) AS restored_sha256
+        FROM parts
+    """,
 }

@@ -1,0 +1,116 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgermatch.llm import fim
+
+TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def plain(doc_id, text, seed=42, fim_percent=50, spm_percent=80):
+    """The contract, token by token."""
+    text = text or ""
+    units = TOKEN.findall(text)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= fim_percent:
+        return len(units), "plain", None, None, text
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < spm_percent:
+        return len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def texts(seed, n):
+    rng = random.Random(seed)
+    alphabet = ["a", "word", "naïve", "数据", "\U0001f600", " ", "  ", "\n", "\t \r\n", "\x0b", "\x0c", "\xa0", "\x85", "\x1c", "<", "S>", "<P", "<M>"]
+    shared = "".join(rng.choice(alphabet[:9]) for _ in range(4000))
+    out = []
+    for i in range(n):
+        t = "".join(rng.choice(alphabet if i % 5 == 0 else alphabet[:-1]) for _ in range(rng.randint(0, 300)))
+        out.append(t + shared[rng.randrange(2000) :] + t[::-1] if i % 3 == 0 else t)
+    return out
+
+
+@pytest.fixture(params=[4, 9], ids=["short chunks", "usual chunks"])
+def chunk_bits(request, monkeypatch):
+    monkeypatch.setattr(fim, "CHUNK_BITS", request.param)
+
+
+@pytest.mark.usefixtures("chunk_bits")
+def test_cuts_equal_tokens():
+    cache = fim.ChunkCache()
+    some = [t for t in texts(1, 120) if t]
+    chunks = fim.ChunkedTexts([t.encode() for t in some], cache)
+    for i, t in enumerate(some):
+        units = TOKEN.findall(t)
+        assert chunks.tokens[i] == len(units)
+        for count in {0, 1, 2, len(units) // 2, len(units) - 1, len(units)} & set(range(len(units) + 1)):
+            head = "".join(units[:count])
+            assert chunks.cut(i, count) == (len(head.encode()), len(head))
+    assert cache.made == len(cache.known)
+
+
+def test_rolling_hash_is_that_of_the_last_bytes():
+    data = np.frombuffer(random.Random(2).randbytes(500), np.uint8)
+    h = fim.rolling_hash(data)
+    for i in range(len(data)):
+        window = data[max(0, i - fim.WINDOW + 1) : i + 1][::-1]
+        assert h[i] == sum(int(fim._GEAR[b]) << j for j, b in enumerate(window)) % (1 << 32)
+    assert [len(fim.rolling_hash(data[:n])) for n in (0, 1, 2)] == [0, 1, 2]
+
+
+def test_shared_passages_give_shared_chunks():
+    passage = " ".join(f"w{random.Random(3).random()}{i}" for i in range(4000))
+    cache = fim.ChunkCache()
+    fim.ChunkedTexts([passage.encode()], cache)
+    made = cache.made
+    fim.ChunkedTexts([("another beginning " + passage).encode(), ("x" + passage + " end").encode()], cache)
+    assert made > 50 and cache.made - made <= 8
+    assert all(fim.summarize(c) == s for c, s in cache.known.items())
+
+
+def test_a_full_cache_is_begun_anew():
+    cache = fim.ChunkCache(most_bytes=2000)
+    some = [t.encode() for t in texts(4, 80) if t]
+    first = fim.ChunkedTexts(some, cache)
+    assert len(cache.known) < cache.made
+    assert (first.tokens == fim.ChunkedTexts(some, fim.ChunkCache()).tokens).all()
+
+
+@pytest.mark.usefixtures("chunk_bits")
+def test_documents_against_the_contract(spark, monkeypatch):
+    monkeypatch.setattr(fim, "BATCH_BYTES", 5000)
+    rows = list(enumerate(texts(7, 200)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    done = fim.fim_documents(df).withColumn("restored", fim.restore_text(F.col("output"), F.col("form"))).collect()
+    by = {r.doc_id: r for r in done}
+    assert len(done) == len(rows)
+    for doc_id, text in rows:
+        r = by[doc_id]
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == plain(doc_id, text)
+        assert r.restored == text
+    assert {r.form for r in done} == {"plain", "spm", "psm"}
+
+
+def test_edges(spark, edge_docs, edge_rows):
+    df = edge_docs.withColumn("n", F.lit("own")).withColumn("output", F.lit(1)).withColumn("_text", F.lit(2)).withColumn("c0", F.lit(3))
+    done = fim.fim_documents(df, fim_percent=100)
+    assert done.columns.count("n") == 1 and "c0" in done.columns and "_text" in done.columns
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n, r.form, r.prefix_chars or 0, r.output) for r in done.collect()))
+    expected = []
+    for r in edge_rows:
+        n, form, prefix, _, output = plain(r[0], r[1], fim_percent=100)
+        expected.append((r[0] is None, r[0] or 0, n, form, prefix or 0, output))
+    assert got == sorted(expected)
+    restored = done.select(F.sha2(fim.restore_text(F.col("output"), F.col("form")), 256).alias("s")).collect()
+    assert sorted(r.s for r in restored) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in edge_rows)
+
+
+def test_no_rows(no_docs):
+    assert fim.fim_documents(no_docs).count() == 0
