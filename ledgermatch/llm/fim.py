@@ -32,7 +32,7 @@ WINDOW, CHUNK_BITS = 32, 9
 #: Contents longer than this are not kept; a cache that has grown to CACHE_BYTES is begun anew.
 LONGEST_KEPT, CACHE_BYTES = 1 << 14, 32 << 20
 #: Documents are taken together up to about so many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _GEAR = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _IS_SPACE = np.zeros(256, bool)
@@ -156,12 +156,16 @@ def restore_text(output: Column, form: Column) -> Column:
     Texts that hold a mark stay plain, and none can arise where a part meets a
     mark, so each mark stands exactly once in any other output.
     """
-    def between(mark, stop):
-        part = F.split_part(output, F.lit(mark), F.lit(2))
-        return F.split_part(part, F.lit(stop), F.lit(1)) if stop else part
-
-    psm = F.concat(between(PREFIX, SUFFIX), between(MIDDLE, None), between(SUFFIX, MIDDLE))
-    spm = F.concat(between(PREFIX, MIDDLE), between(MIDDLE, None), between(SUFFIX, PREFIX))
+    def rest(first, second):
+        """The parts after the first mark, after the second, and after the last."""
+        i, j = F.instr(output, F.lit(second)), F.instr(output, F.lit(MIDDLE))
+        size = F.lit(len(first))
+        return F.substring(output, size + 1, i - size - 1), F.substring(output, i + size, j - i - size), F.substring(output, j + size, F.length(output))
+
+    prefix, suffix, middle = rest(PREFIX, SUFFIX)
+    psm = F.concat(prefix, middle, suffix)
+    suffix, prefix, middle = rest(SUFFIX, PREFIX)
+    spm = F.concat(prefix, middle, suffix)
     return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
 
 
@@ -238,6 +242,6 @@ def _transform(part: pa.RecordBatch, cache: ChunkCache, fim_percent: int, spm_pe
             a, b = sorted((int(h1[i]) % (n + 1), int(h2[i]) % (n + 1)))
             (x, px), (y, py) = chunks.cut(place[i], a), chunks.cut(place[i], b)
             cuts, points = (x, y), (px, py - px)
-        for column, value in zip(out, (n, form, *points, rearrange(text, form, cuts).decode("utf-8", "replace")), strict=True):
+        for column, value in zip(out, (n, form, *points, rearrange(text, form, cuts)), strict=True):
             column.append(value)
     return out
