@@ -17,9 +17,12 @@ no two tasks pack against each other.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,13 +35,17 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, materialize
 
-#: Units of a text: white space and what follows it.  No token crosses their borders.
-_UNIT = re.compile(r"\s*\S+|\s+")
-_BORDER = re.compile(r"(?<=\S)(?=\s)")
-#: Characters whose units are looked up together.
+# White space as the library's regular expressions have it, Latin letters, ASCII signs but the apostrophe.
+_W, _L, _P = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-&(-/:-@\[-`{-~"
+#: Units of a text: white space and what follows it, up to the sign after a word.  No token crosses their borders.
+_UNIT = re.compile(f"[{_W}]?[{_L}]+(?=[{_W}{_P}]|\\Z)|[{_W}]*[^{_W}]+|[{_W}]+")
+#: Units that are one word for the pre-tokenizer.
+_WORD = re.compile(f" ?[{_L}]+\\Z")
+_BORDER = re.compile(f"(?<=[^{_W}])(?=[{_W}])")
+#: Longer texts are cut into stretches of about so many characters.
 STRETCH_CHARS = 1 << 20
-#: Units up to this many characters are remembered, up to KEPT_UNITS of them at a time.
-KEPT_CHARS, KEPT_UNITS = 48, 200_000
+#: Units up to this many characters are remembered: the last KEPT_UNITS and the KEPT_UNITS before (about 0.3 KB each).
+KEPT_CHARS, KEPT_UNITS = 48, 250_000
 
 
 @dataclass(frozen=True)
@@ -61,12 +68,41 @@ class Capacity:
 # ---------------------------------------------------------------------------
 
 
+class UnitIds(dict):
+    """Ids of units, by the ``tokenizers`` library where they are not known yet.
+
+    A unit that is one word goes to the library's merges without its
+    pre-tokenizer.  When KEPT_UNITS are known they become the generation
+    before, whose units are still found, and a new one begins.
+    """
+
+    def __init__(self, library):
+        super().__init__()
+        self.library, self.merges, self.before = library, library.model, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.before.get(unit)
+        if ids is None:
+            if _WORD.match(unit):
+                ids = _packed([t.id for t in self.merges.tokenize(unit.encode().decode("latin-1").translate(_LETTERS))])
+            else:
+                ids = _packed(self.library.encode_batch_fast([unit], add_special_tokens=False)[0].ids)
+        if len(unit) <= KEPT_CHARS:
+            if len(self) >= KEPT_UNITS:
+                self.before = dict(self)
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class UnitEncoder:
-    """Ids of a text by the ``tokenizers`` library, as packed little-endian 32-bit integers.
+    """Ids of texts by the ``tokenizers`` library, as packed little-endian 32-bit integers.
 
     The pre-tokenizer of a byte-level vocabulary never joins a non-space with
-    white space after it, so the ids of a text are those of its units in a row;
-    units come back often, and their ids are kept.
+    white space after it, nor a letter with a sign after it but the apostrophe,
+    so the ids of a text are those of its units in a row; units come back
+    often, and their ids are kept.  Texts for a tokenizer of another kind go to
+    the library whole.
     """
 
     def __init__(self, definition: str):
@@ -76,35 +112,43 @@ class UnitEncoder:
         self.library = Tokenizer.from_str(definition)
         # Names of special tokens in a text are ordinary text.
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _stretch(self, text: str) -> bytes:
-        units, known = _UNIT.findall(text), self.known
-        missing = [u for u in dict.fromkeys(units) if u not in known]
-        if len(known) + len(missing) > KEPT_UNITS:
-            known.clear()
-            missing = list(dict.fromkeys(units))
-        for begin in range(0, len(missing), 4096):
-            some = missing[begin : begin + 4096]
-            for u, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                known[u] = np.asarray(e.ids, "<u4").tobytes()
-        ids = b"".join(map(known.__getitem__, units))
-        for u in missing:
-            if len(u) > KEPT_CHARS:
-                del known[u]
-        return ids
+        parts = json.loads(definition)
+        own = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.in_units = parts.get("normalizer") is None and own.items() <= (parts.get("pre_tokenizer") or {}).items()
+        self.ids = UnitIds(self.library)
 
     def encode(self, text: str) -> bytes:
-        """Long texts go stretch by stretch, each of whole units."""
+        """The ids of a text; a long one goes stretch by stretch, each of whole units."""
+        if not self.in_units:
+            return _packed(self.library.encode(text, add_special_tokens=False).ids)
+        if len(text) <= STRETCH_CHARS:
+            return b"".join(map(self.ids.__getitem__, _UNIT.findall(text)))
         pos, parts = 0, []
         while pos < len(text):
-            border = _BORDER.search(text, pos + STRETCH_CHARS) if len(text) - pos > STRETCH_CHARS else None
+            border = _BORDER.search(text, pos + STRETCH_CHARS)
             stop = border.start() if border else len(text)
-            parts.append(self._stretch(text[pos:stop]))
+            parts.append(b"".join(map(self.ids.__getitem__, _UNIT.findall(text[pos:stop]))))
             pos = stop
         return b"".join(parts)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 @lru_cache(maxsize=2)
 def _encoder(definition: str) -> UnitEncoder:
     return UnitEncoder(definition)
@@ -151,8 +195,8 @@ def tokenize_pieces(
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 rows, piece, start, ids = [], [], [], []
-                for i, text in enumerate(part.column("text")):
-                    for k, (at, own) in enumerate(cut_pieces(encoder.encode(text.as_py()) + end, longest)):
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    for k, (at, own) in enumerate(cut_pieces(encoder.encode(text) + end, longest)):
                         rows.append(i)
                         piece.append(k)
                         start.append(at)

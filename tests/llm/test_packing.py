@@ -131,13 +131,28 @@ def test_cut_pieces(n, lengths):
 
 def test_units_equal_the_library(library, definition, monkeypatch):
     rng = random.Random(3)
-    alphabet = ["a", "Zz", "é", "数据", " ", "  ", "\n", "\t", "\r\n", " ", " ", "\x1c", "\x85", "'", "'s", "'ll", "12", ".", "!?", "<|endoftext|>", "\U0001f600", "​", "٣"]
+    alphabet = ["a", "Zz", "é", "word", "ñandú,", "_", "数据", " ", "  ", "\n", "\t", "\r\n", " ", " ", "\x1c", "\x85", "'", "'s", "'ll", "12", ".", "!?", "<|endoftext|>", "\U0001f600", "​", "٣"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     monkeypatch.setattr(packing, "STRETCH_CHARS", 16)
     monkeypatch.setattr(packing, "KEPT_UNITS", 100)
     encoder = packing.UnitEncoder(definition)
+    for _ in range(2):
+        for t in texts:
+            assert encoder.encode(t) == np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert encoder.ids.before and len(encoder.ids) <= 100
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = ["Two words,  and MORE.", "", "é\n数据", "x" * 50]
+    with open(path, encoding="utf-8") as f:
+        encoder = packing.UnitEncoder(f.read())
     for t in texts:
-        assert encoder.encode(t) == np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+        assert encoder.encode(t) == np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_query_against_the_library(spark, library):
