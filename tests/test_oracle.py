@@ -20,7 +20,7 @@ OWN = [k for k in E.queries() if not k.startswith("op") and k != "pipeline" or k
 
 
 def test_every_query_of_the_match_has_oracle():
-    assert len(OWN) == 17 and set(OWN) <= set(E.oracle_sql())
+    assert len(OWN) == 18 and set(OWN) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("key", OWN)
@@ -43,3 +43,9 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert len(df.columns) == 46
     assert df.count() == 137
+
+
+def test_each_oracle_holds_only_what_it_needs():
+    sql = E.oracle_sql()
+    assert "f_tx AS" not in sql["fund_totals"] and "scored AS" not in sql["code_pair_signal"]
+    assert "annotated AS" in sql["match_report"] and "annotated AS" not in sql["ranked_matches"]
