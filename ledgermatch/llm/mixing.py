@@ -76,7 +76,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 @dataclass
 class Mix:
     """``documents``: (rid, doc_id, text_hash, digest, source, size); ``targets``: see source_targets;
-    ``schedule``: (slot, place, rank); ``pieces``: (rid, place, epoch, rank, start, words), ``start`` counting from the document's first word."""
+    ``schedule``: (slot, place, rank); ``pieces``: (rid, place, epoch, rank, offset, start, words), ``offset`` counting from the block's, ``start`` from the document's first word."""
 
     documents: DataFrame
     targets: DataFrame
@@ -85,8 +85,8 @@ class Mix:
     block_words: int
 
     def takes(self) -> DataFrame:
-        """The mix itself: slots joined with their blocks' pieces (slot, rid, epoch, start, words)."""
-        return self.schedule.join(self.pieces, ["place", "rank"]).select("slot", "rid", "epoch", "start", "words")
+        """Slots joined with their blocks' pieces (slot, rid, epoch, offset, start, words)."""
+        return self.schedule.join(self.pieces, ["place", "rank"]).select("slot", "rid", "epoch", "offset", "start", "words")
 
 
 def _running(rows: DataFrame, group: list[str], order: str, value: str, name: str, buckets: int) -> DataFrame:
@@ -121,25 +121,25 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     spark = docs.sparkSession
     targets = materialize(source_targets(documents), "mix-targets")
     n_rows = documents.count()
-    facts = targets.agg(
-        F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.sum(F.floor("target")), F.lit(0))
-    ).first()
-    n_sources, total = facts[0], facts[1]
-    block = int(min(max(total / max(1, n_sources * SLOTS_PER_SOURCE), BLOCK_WORDS[0]), BLOCK_WORDS[1]))
-    # What a source gives in whole words, and its interval of the unit line.
-    ends = F.sum("target").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    lines = targets.withColumn("taken", F.floor("target")).withColumn("hi", F.floor(ends / F.lit(max(total, 1.0)) * POINTS))
+    # Whole words from here on, so that the schedule is the same wherever it is computed.
+    facts = targets.agg(F.count("*"), F.coalesce(F.sum(F.floor("target")), F.lit(0))).first()
+    n_sources, total = facts[0], int(facts[1])
+    block = min(max(total // max(1, n_sources * SLOTS_PER_SOURCE), BLOCK_WORDS[0]), BLOCK_WORDS[1])
+    # What a source gives, and its interval of the points.
+    lines = targets.withColumn("taken", F.floor("target"))
+    ends = F.sum("taken").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(38,0)")
+    lines = lines.withColumn("hi", F.floor(ends * F.lit(POINTS) / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("long"))
     lines = lines.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("place")), F.lit(0)))
-    lines = lines.withColumn("slots", F.ceil(F.col("taken") / block)).select("place", "source", "source_size", "taken", "slots", "lo", "hi")
+    lines = lines.withColumn("slots", F.expr(f"(taken + {block - 1}) div {block}")).select("place", "source", "source_size", "taken", "slots", "lo", "hi")
     lines = materialize(lines, "mix-lines")
 
     pieces = _pieces(documents, lines, block, max(1, -(-n_rows // BUCKET_ROWS)), seed)
     return Mix(documents, targets, _schedule(spark, lines, n_sources, total, block), pieces, block)
 
 
-def _schedule(spark, lines: DataFrame, n_sources: int, total: float, block: int) -> DataFrame:
+def _schedule(spark, lines: DataFrame, n_sources: int, total: int, block: int) -> DataFrame:
     """(slot, place, rank): golden-ratio points through the cumulative weights, ranked per source."""
-    n_slots = -(-int(total) // block)
+    n_slots = -(-total // block)
     points = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") % POINTS * GOLDEN % POINTS).alias("point"))
     # Equi-join on grid cells instead of a range join; a source covers the cells of its interval.
     cells = 4 * max(1, n_sources)
@@ -175,7 +175,9 @@ def _pieces(documents: DataFrame, lines: DataFrame, block: int, buckets: int, se
     laid = laid.withColumn("rank", F.explode(F.expr(f"sequence(at div {block}L, (stop - 1) div {block}L)")))
     begin = F.greatest(F.col("at"), F.col("rank") * block)
     end = F.least(F.col("stop"), (F.col("rank") + 1) * block)
-    return laid.select("rid", "place", "epoch", "rank", (begin - F.col("at")).alias("start"), (end - begin).alias("words"))
+    return laid.select(
+        "rid", "place", "epoch", "rank", (begin - F.col("rank") * block).alias("offset"), (begin - F.col("at")).alias("start"), (end - begin).alias("words")
+    )
 
 
 def taken_words(mix: Mix) -> DataFrame:
@@ -184,12 +186,40 @@ def taken_words(mix: Mix) -> DataFrame:
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
-    """One row per document row: (doc_id, size, source_size, target, taken)."""
+    """One row per document row: (doc_id, size, source_size, target, taken, first_slot).
+
+    ``first_slot`` is the place in the mix of the document's first words, NULL where none is taken.
+    """
     mix = plan_mix(docs, **options)
-    taken = mix.takes().groupBy("rid").agg(F.sum("words").alias("taken"))
+    taken = mix.takes().groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     rows = mix.documents.join(taken, "rid", "left")
     rows = rows.join(mix.targets, rows["source"].eqNullSafe(mix.targets["source"]))
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
+
+
+def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, **options) -> DataFrame:
+    """The mix itself, in slot order: (slot, offset, source, doc_id, start, words, text).
+
+    A row is what one slot takes of one document, ``text`` being its words from
+    number ``start`` (from 0) on with one space between; ``offset`` counts words
+    inside the slot.  Partitions are ranges of slots, so the files of a written
+    mix, read one after the other, are the mix.  A document's text is shuffled
+    once, to all the slots it goes to, and cut where it meets them.
+    """
+    mix = plan_mix(docs, id_col, text_col, **options)
+    own = F.struct("slot", "offset", "start", "words")
+    takes = mix.takes().groupBy("rid").agg(F.collect_list(own).alias("_takes"))
+    takes = takes.join(mix.documents.select("rid", "doc_id", "text_hash", "source"), "rid")
+    takes = takes.select(row_key("doc_id").alias("_key"), F.col("text_hash").alias("_hash"), "doc_id", "source", "_takes")
+    texts = first_copies(docs.select(row_key(id_col).alias("_key"), text_hash(text_col).alias("_hash"), F.col(text_col).alias("_text")))
+    rows = takes.join(texts, ["_key", "_hash"])
+    words = F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = rows.select("doc_id", "source", "_takes", words.alias("_words"))
+    part = lambda t: F.array_join(F.slice("_words", (t["start"] + 1).cast("int"), t["words"].cast("int")), " ")
+    parts = F.transform("_takes", lambda t: F.struct(t["slot"], t["offset"], t["start"], t["words"], part(t).alias("text")))
+    rows = rows.select("doc_id", "source", F.inline(parts)).select("slot", "offset", "source", "doc_id", "start", "words", "text")
+    ranged = rows.repartitionByRange(partitions, "slot") if partitions else rows.repartitionByRange("slot")
+    return ranged.sortWithinPartitions("slot", "offset")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **options) -> DataFrame:

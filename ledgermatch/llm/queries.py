@@ -163,15 +163,44 @@ ORACLE_SQL: dict[str, str] = {
                    / (sum(weight) FILTER (NOT is_full) OVER ()) * weight END AS target
           FROM f
         ),
+        lines AS (
+          SELECT *, CAST(floor(target) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM t
+        ),
+        facts AS (
+          SELECT sum(words) AS total, count(*) AS n, greatest(16, least(4096, total // greatest(1, n * 2000))) AS block,
+                 CAST((total + block - 1) // block AS BIGINT) AS n_slots
+          FROM lines
+        ),
+        spans AS (
+          SELECT place, (words + block - 1) // block AS slots,
+                 sum(words) OVER (ORDER BY place) * 2147483648 // greatest(total, 1) AS hi,
+                 (sum(words) OVER (ORDER BY place) - words) * 2147483648 // greatest(total, 1) AS lo
+          FROM lines, facts
+        ),
+        -- The golden ratio's fraction in 31 bits, times the slot: a point per slot, looked up in the sources' spans.
+        drawn AS (
+          SELECT slot, place, slots, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank
+          FROM (SELECT unnest(range(n_slots)) AS slot, slot % 2147483648 * 1327217885 % 2147483648 AS point FROM facts)
+          JOIN spans ON point >= lo AND point < hi
+        ),
+        ranks AS (SELECT place, unnest(range(CAST(slots AS BIGINT))) AS rank FROM spans),
+        slots AS (
+          SELECT r.place, r.rank, coalesce(d.slot, n_slots + r.rank * n + r.place) AS slot
+          FROM ranks r LEFT JOIN drawn d ON d.place = r.place AND d.rank = r.rank, facts
+        ),
         laid AS (
-          SELECT doc_id, size, target, source_size, rid, epoch * source_size + coalesce(sum(size) OVER (
+          SELECT doc_id, size, target, source_size, rid, place, epoch, epoch * source_size + coalesce(sum(size) OVER (
                    PARTITION BY x.source, epoch ORDER BY md5(concat_ws('#', '11', epoch, doc_id, digest)), rid
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word
-          FROM (SELECT *, row_number() OVER () AS rid FROM d) x JOIN t ON t.source IS NOT DISTINCT FROM x.source, (VALUES (0), (1)) AS e(epoch)
+          FROM (SELECT *, row_number() OVER () AS rid FROM d) x JOIN lines t ON t.source IS NOT DISTINCT FROM x.source, (VALUES (0), (1)) AS e(epoch)
+        ),
+        sums AS (
+          SELECT rid, doc_id, size, source_size, target, place,
+                 sum(greatest(least(first_word + size, floor(target)) - first_word, 0)) AS taken, min(first_word) AS first_word
+          FROM laid GROUP BY ALL
         )
-        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-               CAST(sum(greatest(least(first_word + size, floor(target)) - first_word, 0)) AS BIGINT) AS taken
-        FROM laid GROUP BY rid, doc_id, size, source_size, target
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken, slot AS first_slot
+        FROM sums LEFT JOIN (FROM slots, facts) s ON s.place = sums.place AND s.rank = first_word // block AND taken > 0
     """,
     "op9_block_naming": """
         WITH d AS (

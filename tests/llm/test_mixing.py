@@ -99,7 +99,8 @@ def test_sizes_of_the_query(spark, spark_sf):
         taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
         assert r.target == pytest.approx(want[source[r.doc_id]]) and r.source_size == by_source[source[r.doc_id]]
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
-    assert sorted(map(tuple, found)) == sorted(map(tuple, op5_source_mix(spark, sf).collect()))
+    again = op5_source_mix(spark, sf).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
 
 
 def test_documents_of_the_mix(edge_docs, edge_rows, no_docs):
@@ -131,3 +132,53 @@ def test_running_sums_in_buckets(make_docs, monkeypatch):
         s = docs[r.doc_id][3]
         taken[s] = taken.get(s, 0) + r.taken
     assert taken == {s: int(w + 1e-9) for s, w in want.items()}
+
+
+def test_a_changed_schedule_changes_the_result(spark, spark_sf, monkeypatch):
+    docs = spark.read.parquet(f"{spark_sf}/documents.parquet")
+    golden = {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix_sizes(docs).collect()}
+    assert all((slot is None) == (taken == 0) for taken, slot in golden.values())
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    plain = {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix_sizes(docs).collect()}
+    assert {i: t for i, (t, _) in plain.items()} == {i: t for i, (t, _) in golden.items()}
+    assert sum(plain[i] != golden[i] for i in golden) > len(golden) / 2
+
+
+def test_blocks_are_the_mix_in_slot_order(spark, spark_sf, tmp_path):
+    docs = spark.read.parquet(f"{spark_sf}/documents.parquet")
+    text = {r.doc_id: words(r.text) for r in docs.collect()}
+    mix = mixing.plan_mix(docs)
+    slot_words = {}
+    for r in mix.takes().collect():
+        slot_words[r.slot] = slot_words.get(r.slot, 0) + r.words
+    mixing.mix_blocks(docs, partitions=6).write.parquet(str(tmp_path / "mix"))
+    rows = []
+    for part in sorted((tmp_path / "mix").glob("part-*")):
+        rows += spark.read.parquet(str(part)).coalesce(1).collect()
+    assert [(r.slot, r.offset) for r in rows] == sorted((r.slot, r.offset) for r in rows)
+    filled = {}
+    for r in rows:
+        assert r.text.split(" ") == text[r.doc_id][r.start : r.start + r.words]
+        assert r.offset == filled.get(r.slot, 0)
+        filled[r.slot] = r.offset + r.words
+    assert filled == slot_words
+    first = {}
+    for r in rows:
+        first.setdefault(r.doc_id, r.slot)
+    assert first == {r.doc_id: r.first_slot for r in mixing.mix_sizes(docs).collect() if r.taken}
+    # Any stretch of the mix is near the weights.
+    goal = {r.source: r.target for r in mix.targets.collect()}
+    total, seen = sum(goal.values()), {s: 0 for s in goal}
+    for k, r in enumerate(rows, 1):
+        seen[r.source] += r.words
+        if k % 500 == 0:
+            done = sum(seen.values())
+            assert all(abs(seen[s] - done * goal[s] / total) < 15 * mix.block_words for s in goal)
+
+
+def test_blocks_of_edges(edge_docs, edge_rows, no_docs):
+    rows = mixing.mix_blocks(edge_docs).collect()
+    assert sum(r.words for r in rows) == sum(r.taken for r in mixing.mix_sizes(edge_docs).collect())
+    text = {r[0]: words(r[1]) for r in edge_rows}
+    assert all(words(r.text) == text[r.doc_id][r.start : r.start + r.words] for r in rows if r.doc_id is not None)
+    assert mixing.mix_blocks(no_docs).count() == 0
