@@ -24,6 +24,32 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _long_upper() -> tuple[str, str, str]:
+    """Characters whose upper case is more than one character, what stands in for them, and their one-character upper case.
+
+    By the Unicode rule: Greek letters with an iota below have their title case,
+    all others (the sharp s, ligatures, ...) stay as they are.
+    """
+    long = [c for c in map(chr, range(0x80, 0x20000)) if len(c.upper()) > 1]
+    single = [c.title() if len(c.title()) == 1 else c for c in long]
+    stand_ins = [chr(0x10FE00 + i) for i in range(len(long))]  # private use, without case
+    return "".join(long), "".join(stand_ins), "".join(single)
+
+
+_LONG, _STAND_INS, _SINGLE = _long_upper()
+
+
+def upper_text(col: Column) -> Column:
+    """Upper case character by character, as the original database has it: the sharp s stays.
+
+    Spark's ``upper`` makes two letters of some characters.  They are taken out
+    of its way and put back; text of ASCII alone goes straight through.
+    """
+    plain = F.octet_length(col) == F.length(col)
+    kept = F.translate(F.upper(F.translate(col, _LONG, _STAND_INS)), _STAND_INS, _SINGLE)
+    return F.when(plain, F.upper(col)).otherwise(kept)
+
+
 def concat_text(*cols: Column) -> Column:
     """``a || b || ...`` where NULL parts count as empty and '' is NULL."""
     return F.nullif(F.concat_ws("", *cols), F.lit(""))

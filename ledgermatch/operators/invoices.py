@@ -14,6 +14,7 @@ from ..config import MatchConfig
 from ..functions.oracle import blank_to_null, concat_text, number_text
 from ..plans.joins import checked_broadcast
 
+# --- fixed values: columns of an open line ---
 OPEN_LINE_COLUMNS = (
     "TXTINVOICE", "CTRCUSTOMER", "TXTCUSTOMERNAME", "DATINVOICEDATE", "INVAMOUNT",
     "OUTSTANDING", "PAYMENTS", "ADJUSTMENTS", "TXTBATCHID", "TXTDEPT", "TXTCREATED",
@@ -24,6 +25,7 @@ LAYOUT_COLUMNS = (
     "TXTINVOICE", "FUND", "FoapalLineID", "FUND_COUNT", "FUNDLINE",
     "PERFUNDTOTAL", "FUNDKEY", "FOAPALline",
 )
+# --- end of fixed values ---
 
 
 def fund_totals(lines: DataFrame, cfg: MatchConfig) -> DataFrame:

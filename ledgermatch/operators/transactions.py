@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.oracle import blank_to_null
+from ..functions.oracle import blank_to_null, upper_text
 from ..functions.tokens import invoice_token_flag
+from ..sources.tables import DatePartition
 from .open_side import OpenSide, survey_open_lines
 
+# --- fixed values: columns of the ledger ---
 TX_COLUMNS = (
     "TranID", "CHART", "ACCI", "FUND", "ORGN", "ACCT", "PROG", "ACTV", "LOCN",
     "AMOUNT", "DESCRIPTION", "TRANDATE", "DCIND", "DOCUMENT", "DOCREFNUM",
     "SEQNUMBER", "RUCL_CODE", "USER_ID",
 )
+# --- end of fixed values ---
 
 
 def rename_ledger(raw: DataFrame, colmap: dict[str, str] | None = None) -> DataFrame:
@@ -36,7 +39,7 @@ def rename_ledger(raw: DataFrame, colmap: dict[str, str] | None = None) -> DataF
 def normalize_transactions(raw: DataFrame, colmap: dict[str, str] | None = None) -> DataFrame:
     """O4: rename source columns to the matcher's names and upper-case the text; '' becomes NULL."""
     tx = blank_to_null(rename_ledger(raw, colmap))
-    return tx.withColumn("upperDescription", F.upper(F.col("DESCRIPTION")))
+    return tx.withColumn("upperDescription", upper_text(F.col("DESCRIPTION")))
 
 
 def ts_literal(value: _dt.datetime) -> Column:
@@ -73,9 +76,22 @@ def prefilter_transactions(tx: DataFrame, open_lines: DataFrame, cfg: MatchConfi
 
 
 def select_transactions(
-    raw: DataFrame, open_lines: DataFrame, cfg: MatchConfig, side: OpenSide | None = None, colmap: dict[str, str] | None = None
+    raw: DataFrame,
+    open_lines: DataFrame,
+    cfg: MatchConfig,
+    side: OpenSide | None = None,
+    colmap: dict[str, str] | None = None,
+    partition: DatePartition | None = None,
 ) -> DataFrame:
-    """O4 + O5: pre-filter the ledger (pushed down, under its own names), then normalise."""
+    """O4 + O5: pre-filter the ledger (pushed down, under its own names), then normalise.
+
+    ``partition`` says by which column of ``raw`` the ledger's files are divided
+    along TRANDATE: files wholly before the date floor are not read.
+    """
+    side = side or survey_open_lines(open_lines, cfg)
+    floor = date_floor(side.oldest, cfg)
+    if partition is not None and floor is not None:
+        raw = raw.filter(partition.not_before(raw, floor))
     return normalize_transactions(prefilter_transactions(rename_ledger(raw, colmap), open_lines, cfg, side))
 
 

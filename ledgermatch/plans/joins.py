@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,12 +47,17 @@ def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int | None = None
     return df, False
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgermatch-{uuid.uuid4().hex}/{name}"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a reused relation to the shared folder and read it back.
 
     Computed once; lineage ends at the files, so a lost executor costs a
     re-read, and nothing stays in the executors' memory after the run.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/ledgermatch-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

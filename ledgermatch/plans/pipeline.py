@@ -82,7 +82,7 @@ def run_match(
         assert_quality(src, colmap)
     open_lines = build_open_lines(src, cfg)
     side = survey_open_lines(open_lines, cfg)
-    pre = select_transactions(src.transactions, open_lines, cfg, side, colmap)
+    pre = select_transactions(src.transactions, open_lines, cfg, side, colmap, src.ledger_partition)
     sig = pair_input(pre, open_lines, cfg, use_prematch, side)
     blocks = choose_blocks(open_lines, cfg)
     pairs = candidate_pairs(sig, open_lines, cfg, blocks, side)

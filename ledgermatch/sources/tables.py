@@ -12,9 +12,11 @@ reach the Parquet reader.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,12 +55,39 @@ MONEY_COLUMNS = {
 }
 
 
+@dataclass(frozen=True)
+class DatePartition:
+    """A partition column of the ledger that follows TRANDATE.
+
+    Its value is the start of TRANDATE's day, month or year (``unit``): a date,
+    or that date written by ``pattern`` (of ``strftime``; its order must be that
+    of the dates, as in ``%Y%m``) in the column's own type.
+    """
+
+    column: str
+    unit: str = "month"
+    pattern: str | None = None
+
+    def __post_init__(self):
+        if self.unit not in ("day", "month", "year"):
+            raise ValueError(f"no such unit: {self.unit!r}")
+
+    def not_before(self, ledger: DataFrame, floor: dt.datetime) -> Column:
+        """What the partitions with any date from ``floor`` on have in common; a literal, so that it prunes files."""
+        start = dt.date(floor.year, floor.month if self.unit != "year" else 1, floor.day if self.unit == "day" else 1)
+        value = start.strftime(self.pattern) if self.pattern else start.isoformat()
+        return F.col(self.column) >= F.lit(value).cast(ledger.schema[self.column].dataType)
+
+
 @dataclass(frozen=True)
 class Sources:
+    """The four tables; ``ledger_partition`` names a further column of ``transactions`` that divides its files."""
+
     invoices: DataFrame
     invoice_headers: DataFrame
     invoice_lines: DataFrame
     transactions: DataFrame
+    ledger_partition: DatePartition | None = None
 
 
 def table_schema(table: str, cfg: MatchConfig | None = None, colmap: dict[str, str] | None = None) -> T.StructType:
@@ -72,11 +101,13 @@ def table_schema(table: str, cfg: MatchConfig | None = None, colmap: dict[str, s
     return T.StructType(fields)
 
 
-def conform(df: DataFrame, table: str, cfg: MatchConfig | None = None, colmap: dict[str, str] | None = None) -> DataFrame:
-    """Project ``df`` onto the table's schema: names, column order and types."""
+def conform(
+    df: DataFrame, table: str, cfg: MatchConfig | None = None, colmap: dict[str, str] | None = None, further: Sequence[str] = ()
+) -> DataFrame:
+    """Project ``df`` onto the table's schema: names, column order and types; ``further`` columns stay as they are."""
     raw = table_schema(table, cfg, colmap).fields
     names = table_schema(table, cfg).names
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(n) for f, n in zip(raw, names, strict=True)])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(n) for f, n in zip(raw, names, strict=True)], *further)
 
 
 def read_sources(
@@ -85,6 +116,8 @@ def read_sources(
     fmt: str = "parquet",
     cfg: MatchConfig | None = None,
     colmaps: dict[str, dict[str, str]] | None = None,
+    ledger_partition: DatePartition | None = None,
+    partition_type: str = "date",
 ) -> Sources:
     """Read the four tables from files (any Spark batch format) or tables.
 
@@ -92,6 +125,9 @@ def read_sources(
     catalog table; ``colmaps`` maps a table name to its renamed columns
     (source column -> matcher column).  Money is read with ``cfg.money_type``.
     Columns are pruned and filters pushed down by Catalyst.
+    ``ledger_partition`` declares the column that divides the ledger's files
+    along TRANDATE (in files of type ``partition_type``); ``run_match`` then
+    reads only those from the date floor on.
     """
     frames = {}
     for name in SCHEMAS:
@@ -99,6 +135,11 @@ def read_sources(
         if loc.startswith("table:"):
             raw = spark.table(loc[len("table:"):])
         else:
-            raw = spark.read.format(fmt).schema(table_schema(name, cfg, colmap)).load(loc)
-        frames[name] = conform(raw, name, cfg, colmap)
-    return Sources(**frames)
+            schema = table_schema(name, cfg, colmap)
+            if name == "transactions" and ledger_partition:
+                schema.fields.append(T.StructField(ledger_partition.column, T.StructType.fromDDL(f"c {partition_type}")[0].dataType))
+                schema = T.StructType(schema.fields)
+            raw = spark.read.format(fmt).schema(schema).load(loc)
+        further = [ledger_partition.column] if name == "transactions" and ledger_partition else []
+        frames[name] = conform(raw, name, cfg, colmap, further)
+    return Sources(**frames, ledger_partition=ledger_partition)

@@ -44,6 +44,22 @@ def test_set_partitions_count():
     assert sum(1 for _ in set_partitions(list("abcdefg"))) == 877
 
 
+def test_family_costs_less_than_whole_groups(spark, sources, cfg):
+    """Choices of codes in place of whole parts: at most a third of the key matches on the fixture's open lines."""
+    from ledgermatch.operators.candidates import GROUP_ORDER, PROBE_COST, cheapest_family, code_subset_costs
+
+    costs = code_subset_costs(build_open_lines(sources, cfg), list(GROUP_ORDER))
+    weights, need = cfg.code_weights, cfg.threshold - cfg.w_possible_invoice - cfg.w_date
+    assert costs[()] == 84 * 84
+    probe = PROBE_COST * 84
+    best = sum(costs[g] + probe for g in cheapest_family(list(GROUP_ORDER), weights, need, costs))
+    whole = min(
+        sum(costs[tuple(c for c in GROUP_ORDER if c in g)] + probe for g in part)
+        for part in set_partitions(list(GROUP_ORDER)) if sum(min(weights[c] for c in g) for g in part) > 7 - need
+    )
+    assert best <= whole
+
+
 @settings(max_examples=60, deadline=None)
 @given(
     weights=st.lists(st.integers(0, 4), min_size=7, max_size=7),

@@ -69,3 +69,18 @@ def test_minus_days_keeps_time_of_day(spark):
     df = spark.createDataFrame([(dt.datetime(2026, 1, 30, 13, 45, 10),)], "d timestamp_ntz")
     got = df.select(minus_days(F.col("d"), 14).alias("x")).first().x
     assert got == dt.datetime(2026, 1, 16, 13, 45, 10)
+
+
+def test_upper_text_keeps_one_character_each(spark):
+    from ledgermatch.functions.oracle import upper_text
+
+    texts = ["Straße 12", "ÿ é ñ ä", "ﬁne ŉ ǰ", "ᾳ ᾠ", "abc", "", None, "ß", "SS ß ss", "İı", "dž ǆ", "naïve \U0001f600 \U00010428", "և"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", upper_text(F.col("t")).alias("u")).collect()}
+
+    def plain(t):
+        one = lambda c: c.upper() if len(c.upper()) == 1 else c.title() if len(c.title()) == 1 else c
+        return None if t is None else "".join(map(one, t))
+
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+    assert got[0] == "STRAßE 12" and got[7] == "ß"
