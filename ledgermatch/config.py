@@ -61,6 +61,9 @@ class MatchConfig:
     broadcast_max_rows: int = 2_000_000
     # ... and bound on the measured bytes of a broadcast relation.
     broadcast_max_bytes: int = 256 * 1024 * 1024
+    # Pairs of one transaction that a single task may rank; above it the
+    # ranking is split (same ranks).
+    rank_max_rows: int = 100_000
     # Skip the transaction pre-match when it provably cannot change the
     # result (see ``prematch_is_redundant``).
     skip_redundant_prematch: bool = True

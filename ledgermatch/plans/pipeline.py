@@ -22,31 +22,32 @@ from ..operators.candidates import BlockPlan, candidate_pairs, choose_blocks, nu
 from ..operators.invoices import OPEN_LINE_COLUMNS, open_invoice_lines
 from ..operators.offsets import annotate, debit_offsets
 from ..operators.open_side import OpenSide, survey_open_lines
-from ..operators.ranking import matched_results, rank_matches
+from ..operators.ranking import matched_results, rank_matches, rank_split_matches
 from ..operators.report import match_report
 from ..operators.scoring import scored_at_threshold
 from ..operators.signals import signal_transactions
 from ..operators.transactions import select_transactions, with_token_flag
 from ..sources.tables import Sources
 from .joins import materialize
-from .quality import assert_quality
+from .quality import assert_quality, pairs_per_transaction
 
 
 @dataclass
 class MatchRun:
     config: MatchConfig
-    blocks: BlockPlan
-    side: OpenSide
     open_lines: DataFrame
-    prefiltered: DataFrame
-    signals: DataFrame
-    pairs: DataFrame
     scored: DataFrame  # pairs at or above the threshold (credits and debits)
     matched: DataFrame
     ranked: DataFrame
     offsets: DataFrame
     annotated: DataFrame
     report: DataFrame
+    # How the pairs were found; None where they come from a kept state.
+    blocks: BlockPlan | None = None
+    side: OpenSide | None = None
+    prefiltered: DataFrame | None = None
+    signals: DataFrame | None = None
+    pairs: DataFrame | None = None
 
 
 def build_open_lines(src: Sources, cfg: MatchConfig) -> DataFrame:
@@ -76,8 +77,13 @@ def run_match(
     use_prematch: bool | None = None,
     colmap: dict[str, str] | None = None,
     check_inputs: bool = False,
+    check_ids: bool = True,
 ) -> MatchRun:
-    """The whole match; ``colmap`` names the ledger's own columns, ``check_inputs`` first asserts unique ids."""
+    """The whole match; ``colmap`` names the ledger's own columns.
+
+    ``check_inputs`` first asserts unique ids in all tables; ``check_ids``, on by
+    default, asserts that of the transactions that have pairs.
+    """
     if check_inputs:
         assert_quality(src, colmap)
     open_lines = build_open_lines(src, cfg)
@@ -87,12 +93,22 @@ def run_match(
     blocks = choose_blocks(open_lines, cfg)
     pairs = candidate_pairs(sig, open_lines, cfg, blocks, side)
     scored = materialize(scored_at_threshold(pairs, open_lines, cfg), "scored")
+    return finish_match(
+        scored, cfg, check_ids, open_lines=open_lines.select(*OPEN_LINE_COLUMNS), blocks=blocks, side=side, prefiltered=pre, signals=sig, pairs=pairs
+    )
+
+
+def finish_match(scored: DataFrame, cfg: MatchConfig, check_ids: bool = True, **found) -> MatchRun:
+    """From scored pairs, a written table, to the report; ``found`` goes into the result."""
+    most = pairs_per_transaction(scored, check_ids)
     matched = matched_results(scored, cfg)
-    ranked = rank_matches(matched)
+    if most <= cfg.rank_max_rows:
+        ranked = rank_matches(matched)
+    else:
+        matched = materialize(matched_results(scored, cfg, split=True), "matched")
+        ranked = rank_split_matches(matched)
     offsets = debit_offsets(scored, cfg)
     annotated = annotate(ranked, offsets, cfg)
     return MatchRun(
-        config=cfg, blocks=blocks, side=side, open_lines=open_lines.select(*OPEN_LINE_COLUMNS), prefiltered=pre, signals=sig,
-        pairs=pairs, scored=scored, matched=matched, ranked=ranked, offsets=offsets,
-        annotated=annotated, report=match_report(annotated),
+        config=cfg, scored=scored, matched=matched, ranked=ranked, offsets=offsets, annotated=annotated, report=match_report(annotated), **found
     )
