@@ -181,3 +181,21 @@ def test_prefilter_predicates_reach_the_scan(spark, sources, cfg):
     assert "GreaterThanOrEqual(TRANDATE" in pushed
     assert "In(RUCL_CODE" in pushed
     assert "Not(EqualTo(ACCT,))" in pushed and "ACCT,A11" in pushed
+
+
+def test_invoice_numbers_of_many_lengths(spark, cfg):
+    """Twenty lengths of numbers, some the end or the middle of others: the pairs of the literal join, by one scan of the text."""
+    from .helpers import T0, invoice, line, sources as built, tx
+
+    numbers = ["FI" + "1234567890123456789012345"[:n] for n in range(2, 22)] + ["34", "FI99", "QX4567", "é数9", "X.*9"]
+    lines = [line(no, i, "F1", f"{i}.50") for i, no in enumerate(numbers, 1)]
+    texts = ["FI1234567", "see FI123456 34", "fi12345 X.*9", "FI1234567890123456789", "FI99999 É数9", "(FI55555) qx4567 and QX45", "FI123456", "FI12345", "", None]
+    txs = [tx(i, "1.00", T0, t, orgn="O9") for i, t in enumerate(texts)]
+    c = cfg.with_(excluded_accounts=(), threshold=9)
+    s = built(spark, [invoice(no) for no in numbers], lines, txs)
+    blocked, literal = _pairs_both_ways(spark, s, c)
+    assert blocked.count() == literal.count() > 10
+    assert blocked.exceptAll(literal).count() == 0
+    ol = build_open_lines(s, c)
+    sig = pair_input(select_transactions(s.transactions, ol, c), ol, c)
+    assert _plan_text(candidate_pairs(sig, ol, c)).count("regexp_extract_all(upperDescription") == 1

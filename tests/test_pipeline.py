@@ -95,7 +95,7 @@ def test_building_submits_few_jobs_and_caches_nothing(spark, sources, cfg):
         jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("build")
     finally:
         spark.sparkContext.setJobGroup("other", "other")
-    assert len(jobs) <= 28, len(jobs)
+    assert len(jobs) <= 28 + 3, len(jobs)  # the check of the ids that have matches takes three
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
