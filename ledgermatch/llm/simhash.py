@@ -324,14 +324,20 @@ def _links(table: pa.Table, radius: int) -> pa.RecordBatch:
 
 
 def contract_components(links: DataFrame) -> list[DataFrame]:
-    """Moves (v, to) per round of contraction; applied in order they take a vertex to its component's name."""
+    """Moves (v, to) per round of contraction; applied in order they take a vertex to its component's name.
+
+    Every round puts the vertices in a new order by a hash of round and vertex,
+    and each moves to the first of itself and its neighbours.  On a path about
+    half of the vertices are left, whatever their numbers, so the rounds grow
+    with the logarithm of a component's length.
+    """
     moves = []
     edges = materialize(links.filter("a <> b").distinct(), "component-edges")
     while not edges.isEmpty():
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        move = materialize(
-            both.groupBy("v").agg(F.min("to").alias("to")).withColumn("to", F.least("v", "to")), "component-moves"
-        )
+        first = both.groupBy("v").agg(F.min(place("to")).alias("first"))
+        move = materialize(first.select("v", F.least(place("v"), "first").getField("id").alias("to")), "component-moves")
         moves.append(move)
         left, right = move.toDF("a", "a2"), move.toDF("b", "b2")
         edges = materialize(

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -125,3 +127,24 @@ def test_one_of_each_group_stays(edge_docs, no_docs):
     assert kept.count() == found
     assert simhash.keep_one_per_group(no_docs).count() == 0
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("order", ["rising", "falling", "shuffled"])
+def test_long_paths_contract_in_few_rounds(spark, order):
+    """A path of 1,000 links, a star, a ring and single links: one name each, in rounds by the logarithm."""
+    path = list(range(1001))
+    if order == "falling":
+        path.reverse()
+    if order == "shuffled":
+        random.Random(1).shuffle(path)
+    links = list(zip(path, path[1:], strict=False))
+    links += [(5000, 5000 + i) for i in range(1, 50)] + [(6000 + i, 6000 + (i + 1) % 40) for i in range(40)] + [(7000, 7001), (7001, 7000), (7002, 7002)]
+    moves = simhash.contract_components(spark.createDataFrame(links, "a long, b long"))
+    assert len(moves) <= 15
+    name = {}
+    for move in [{r.v: r.to for r in m.collect()} for m in moves]:
+        name = {v: move.get(at, at) for v, at in name.items()} | {v: to for v, to in move.items() if v not in name}
+    groups = {}
+    for v, at in name.items():
+        groups.setdefault(at, set()).add(v)
+    assert sorted(map(sorted, groups.values())) == [list(range(1001)), list(range(5000, 5050)), list(range(6000, 6040)), [7000, 7001]]
