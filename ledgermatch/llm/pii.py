@@ -1,15 +1,16 @@
 """Surrogates for personal data and secrets.
 
 Detected entities are replaced by keyed surrogates of the same type and form:
-digits stay digits, separators and letter case stay, a valid card number stays
-valid, a person's name keeps its gender and script.  The surrogate is a
+digits stay digits, separators and letter case stay, a valid card number or IBAN
+stays valid, a private address stays private, a person's name keeps its gender and script.  The surrogate is a
 function of key, type and the entity's canonical form, so one entity gets one
 surrogate in the whole corpus, however it is written.  A name that follows a
 title once is replaced in the whole text.  The gender of a given name is part
 of its type: it is what the titles of the same text say.
 
 Distinctness is checked over the corpus with joins: no two entities of a type
-may share a surrogate and no surrogate may be an entity that occurs.  Of those
+may share a surrogate and no surrogate may be an entity that occurs; all names
+of persons count as one type here.  Of those
 that collide the smallest keeps its surrogate; the others try their next one.
 A document is rewritten by the function alone, plus the few entities in it that
 had to try again.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -67,7 +69,7 @@ _PERSON = regex.compile(
 )
 _CAPITALISED = regex.compile(r"(?<!\w)\p{Lu}[\p{L}’']++(?!\w)")
 _POSSESSIVE = regex.compile(r"[’'][sS]?\Z")
-_EMAIL = regex.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,6}\p{L}{2,24}")
+_EMAIL = regex.compile(r"(?<![\w.+-])[\w.+-]++@(?:[\w-]++\.)+\p{L}{2,}+")
 # A quoted value ends at its closing quote, another at white space, less the punctuation at its end.
 _SECRET = regex.compile(
     r"(?i:pass(?:word|wd)|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
@@ -80,6 +82,7 @@ _NUMBERS = regex.compile(
     r"(?P<key>(?<![A-Za-z0-9])AKIA[A-Z0-9]{12,}+(?![A-Za-z0-9]))"
     r"|(?P<hex>(?<![A-Za-z0-9])(?=[a-fA-F]*+\d)[0-9a-fA-F]{32,}+(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[\w:]*\d)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}+(?![\w:]))"
     r"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d))"
@@ -107,8 +110,54 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def remainder(iban: str) -> int:
+    """An IBAN as a number, modulo 97; 1 for a valid one."""
+    moved = (iban[4:] + iban[:4]).upper()
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
+def _is_card(digits: str) -> bool:
+    """Sixteen digits like those of a card, with a slip perhaps; other lengths only with a valid checksum."""
+    n, first = len(digits), digits[0]
+    if n == 16:
+        return first in "23456"
+    return luhn(digits) == 0 and (first == "4" if n == 13 else 14 <= n <= 19 and first in "3456")
+
+
+def _accepted(kind: str, raw: str) -> str | None:
+    """The part of a match, from its start, that is an entity of its kind."""
+    if kind == "iban":
+        plain = raw.replace(" ", "")
+        return raw if len(plain) >= 15 and (remainder(plain) == 1 or sum(c.isdigit() for c in plain) >= 10) else None
+    if kind == "ipv6":
+        try:
+            ipaddress.IPv6Address(raw)
+        except ValueError:
+            return None
+        return raw if raw.count(":") >= 3 else None
+    if kind == "card":
+        ends = [m.start() for m in regex.finditer(r"[ -]", raw)]
+        return next((raw[:end] for end in [len(raw), *reversed(ends)] if _is_card("".join(c for c in raw[:end] if c.isdigit()))), None)
+    return raw
+
+
+def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, stop) of numbers; what is refused is looked through again behind its first run."""
+    at = 0
+    while m := _NUMBERS.search(text, at):
+        part = _accepted(m.lastgroup, m.group())
+        if part is not None:
+            yield m.lastgroup, m.start(), m.start() + len(part)
+            at = m.start() + len(part)
+        else:
+            run = regex.compile(r"\w+[ -]?|.", regex.DOTALL).match(text, m.start())
+            at = max(m.start() + 1, min(run.end(), m.end()))
+
+
 def canonical(kind: str, raw: str) -> str:
     """One form for all spellings of an entity."""
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(raw))
     if kind in ("phone", "card", "ssn"):
         return "".join(c for c in raw if c.isdigit())
     if kind == "iban":
@@ -194,9 +243,8 @@ def detect(text: str | None) -> list[Entity]:
             if stop - start >= SECRET_LEAST:
                 add("secret", start, stop)
     if regex.search(r"\d", text):
-        for m in _NUMBERS.finditer(text):
-            kind = m.lastgroup
-            add("secret" if kind in ("key", "hex") else kind, *m.span())
+        for kind, start, stop in _numbers(text):
+            add("secret" if kind in ("key", "hex") else kind, start, stop)
     found += _names(text)
     found.sort(key=lambda e: (e[0], -e[1]))
     out: list[Entity] = []
@@ -247,19 +295,26 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
             name = "".join(parts[s.below(len(parts))] for _ in range(2 + s.below(2) + longer)) + name
         return name.casefold()
     if kind == "ip":
-        return ".".join(str(1 + s.below(254)) for _ in range(4))
+        return _like_address(canon, s)
+    if kind == "ipv6":
+        groups = ipaddress.IPv6Address(canon).exploded.split(":")
+        # The first group says what kind of address it is; that of public ones is drawn too.
+        head = f"{0x2600 + s.below(0x200):x}" if groups[0][0] in "23" else groups[0]
+        return str(ipaddress.IPv6Address(":".join([head, *(f"{1 + s.below(0xFFFF):x}" for _ in groups[1:])])))
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         host, _, top = domain.rpartition(".")
         return "".join(_like(c, s, False) for c in local + "x" * longer) + "@" + "".join(_like(c, s, False) for c in host) + "." + top
     if kind == "iban":
-        return canon[:2] + "".join(_like(c, s, False) for c in canon[2:] + "0" * longer)
+        body = "".join(_like(c, s, False) for c in canon[4:] + "0" * longer)
+        valid = 98 - remainder(canon[:2] + "00" + body)  # 2 to 98
+        return f"{canon[:2]}{valid if remainder(canon) == 1 else (valid + 1 + s.below(90)) % 97 + 2:02}{body}"
     if kind == "secret":
         fixed = 4 if canon.startswith("akia") else 0
         hexadecimal = all(c in "0123456789abcdef" for c in canon)
         return canon[:fixed] + "".join(_like(c, s, hexadecimal) for c in canon[fixed:] + "0" * longer)
     if kind == "card":
-        body = str(1 + s.below(9)) + "".join(str(s.below(10)) for _ in range(len(canon) - 2 + longer))
+        body = canon[0] + "".join(str(s.below(10)) for _ in range(len(canon) - 2 + longer))
         valid = next(d for d in "0123456789" if luhn(body + d) == 0)
         return body + (valid if luhn(canon) == 0 else str((int(valid) + 1 + s.below(9)) % 10))
     # Phone numbers keep their first digit, which is a country's or an area's.
@@ -287,6 +342,22 @@ def _case(raw: str, text: str) -> str:
     return text[:1].upper() + text[1:] if raw[:1].isupper() else text
 
 
+#: First numbers of addresses that are not public, and how many numbers follow freely.
+_KEPT_ADDRESSES = (("10",), ("127",), ("192", "168"), ("169", "254"), ("0",))
+
+
+def _like_address(canon: str, s: _Stream) -> str:
+    """Another IPv4 address of the same kind: private, loopback and link-local ranges are kept, others avoid them."""
+    parts = tuple(canon.split("."))
+    kept = next((p for p in _KEPT_ADDRESSES if parts[: len(p)] == p), None)
+    if kept is None and parts[0] == "172" and 16 <= int(parts[1]) < 32:
+        kept = ("172", str(16 + s.below(16)))
+    if kept is not None:
+        return ".".join([*kept, *(str(1 + s.below(254)) for _ in range(4 - len(kept)))])
+    first = [n for n in range(1, 224) if n not in (10, 127, 169, 172, 192)]
+    return ".".join([str(first[s.below(len(first))]), *(str(1 + s.below(254)) for _ in range(3))])
+
+
 @lru_cache(maxsize=1 << 16)
 def _first_try(key: bytes, kind: str, canon: str) -> str:
     return surrogate(key, kind, canon)
@@ -329,16 +400,19 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(made, pa.string())], names=[*names, "surrogate"])
 
     schema = "kind string, canon string, attempt int, surrogate string"
+    # Names share one space: a given name must not become what is another person's surname.
+    space = F.when(F.col("kind").startswith("name-"), "name").otherwise(F.col("kind")).alias("space")
     pending = entities.select("kind", "canon", F.lit(0).alias("attempt"))
-    used = entities.select("kind", F.col("canon").alias("surrogate"))
+    used = entities.select(space, F.col("canon").alias("surrogate")).distinct()
     done = None
     while True:
-        tried = materialize(map_arrow(pending, run, schema), "pii-tried")
-        free = tried.join(used, ["kind", "surrogate"], "left_anti")
-        owners = free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        kept = materialize(free.join(owners, ["kind", "surrogate", "canon"], "left_semi").select(*tried.columns), "pii-kept")
+        tried = materialize(map_arrow(pending, run, schema).select("*", space), "pii-tried")
+        free = tried.join(used, ["space", "surrogate"], "left_anti")
+        owners = free.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "canon")).alias("owner"))
+        owners = owners.select("space", "surrogate", "owner.*")
+        kept = materialize(free.join(owners, ["space", "surrogate", "kind", "canon"], "left_semi").select(*tried.columns), "pii-kept")
         done = kept if done is None else done.unionByName(kept)
-        used = used.unionByName(kept.select("kind", "surrogate"))
+        used = used.unionByName(kept.select("space", "surrogate"))
         left = tried.join(kept, ["kind", "canon"], "left_anti")
         pending = materialize(left.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "pii-left")
         if pending.isEmpty():
