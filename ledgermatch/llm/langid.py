@@ -31,6 +31,15 @@ RIDGE = 1e-2
 #: Longest text that teaches, and languages that are learned, at most.
 MAX_TRAIN_BYTES = 1 << 16
 MAX_LANGUAGES = 500
+#: Bounds over all languages together: training rows, landmarks, bytes of the
+#: texts that teach, and weights (n-grams times languages).  Many languages
+#: share them evenly, down to the least of each.
+TOTAL_ROWS, LEAST_ROWS = 6000, 12
+TOTAL_LANDMARKS, LEAST_LANDMARKS = 1200, 2
+TOTAL_TRAIN_BYTES = 160_000_000
+TOTAL_WEIGHTS = 1 << 24
+#: N-grams whose presence is laid out densely at a time.
+GRAM_BLOCK = 1 << 12
 SEED = 43
 
 _LETTER = regex.compile(r"\p{L}")
@@ -115,6 +124,7 @@ class LanguageModel:
         if not self.languages:
             return names, scores
         width = len(self.weights)
+        batch = max(1, min(batch, (1 << 23) // width))
         for at in range(0, len(asked), batch):
             some = asked[at : at + batch]
             present = np.zeros((len(some), width), dtype=np.float32)
@@ -134,68 +144,126 @@ class LanguageModel:
 
 
 def fit_languages(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> LanguageModel:
-    """Nyström landmarks: the first ``landmarks`` texts of each language; ridge regression on all texts."""
+    grams = Grams()
+    return fit_presence([grams.distinct(t) for t in texts], langs, landmarks)
+
+
+def _known_grams(sets: list[np.ndarray], most: int) -> np.ndarray:
+    """The n-grams of the landmarks, in order; of too many, those in most landmarks, ties by number."""
+    counts = np.zeros(1 << GRAM_BITS, np.int32)
+    for s in sets:
+        counts[s] += 1
+    known = np.flatnonzero(counts)
+    if len(known) > most:
+        known = np.sort(known[np.argsort(-counts[known], kind="stable")[:most]])
+    return known
+
+
+def _dense(columns: list[np.ndarray], low: int, high: int) -> np.ndarray:
+    """Presence of the n-grams ``low`` to ``high`` in each of the sorted sets."""
+    out = np.zeros((len(columns), high - low), dtype=np.float32)
+    for r, c in enumerate(columns):
+        first, stop = np.searchsorted(c, (low, high))
+        out[r, c[first:stop] - low] = 1
+    return out
+
+
+def fit_presence(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) -> LanguageModel:
+    """Nyström landmarks: the first ``landmarks`` sets of each language; ridge regression on all.
+
+    Sets of n-gram numbers stay sparse; their common n-grams are counted by
+    products over GRAM_BLOCK of them at a time (exact in 32-bit floats).
+    """
     names = sorted(set(langs))
     if not names:
         return LanguageModel(Grams(), [], np.zeros((1, 0), np.float32), np.zeros(0, np.int32), np.zeros(0))
-    marks = [i for name in names for i in [j for j, g in enumerate(langs) if g == name][:landmarks]]
-    grams = Grams()
-    sets = [grams.distinct(t) for t in texts]
-    known = np.unique(np.concatenate([sets[i] for i in marks]))
-    column = np.full(grams.size, len(known), dtype=np.int32)
+    seen: dict[str, int] = {}
+    marks = []
+    for i, name in enumerate(langs):
+        seen[name] = seen.get(name, 0) + 1
+        if seen[name] <= landmarks:
+            marks.append(i)
+    marks.sort(key=lambda i: (langs[i], i))
+    known = _known_grams([sets[i] for i in marks], max(1, TOTAL_WEIGHTS // len(names)))
+    column = np.full(Grams.size, len(known), dtype=np.int32)
     column[known] = np.arange(len(known))
+    columns = [np.sort(c[c < len(known)]) for c in (column[s] for s in sets)]
     root = np.sqrt(np.array([max(1, len(s)) for s in sets], dtype=np.float64))
-    spectrum = np.zeros((len(marks), len(known) + 1))
-    for r, i in enumerate(marks):
-        spectrum[r, column[sets[i]]] = 1 / root[i]
-    spectrum[:, -1] = 0
-    kernel = np.zeros((len(texts), len(marks)))
-    for at in range(0, len(texts), 256):
-        part = np.zeros((len(sets[at : at + 256]), len(known) + 1), dtype=np.float64)
-        for r, s in enumerate(sets[at : at + 256]):
-            part[r, column[s]] = 1 / root[at + r]
-        kernel[at : at + 256] = part @ spectrum.T
+    common = np.zeros((len(sets), len(marks)), dtype=np.float32)
+    for low in range(0, len(known), GRAM_BLOCK):
+        high = min(low + GRAM_BLOCK, len(known))
+        spectrum = _dense([columns[i] for i in marks], low, high).T
+        for at in range(0, len(sets), 256):
+            common[at : at + 256] += _dense(columns[at : at + 256], low, high) @ spectrum
+    kernel = common / root[:, None] / root[marks]
     among = kernel[marks]
     value, vector = np.linalg.eigh((among + among.T) / 2)
     good = value > 1e-8 * value.max()
     nystrom = vector[:, good] / np.sqrt(value[good])
     mapped = kernel @ nystrom
-    target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    number = {name: k for k, name in enumerate(names)}
+    own = np.array([number[g] for g in langs])
+    target = np.full((len(langs), len(names)), -1.0)
+    target[np.arange(len(langs)), own] = 1.0
     # Languages weigh alike, whatever their share of the sample.
-    share = np.array([1 / langs.count(g) for g in langs]) * len(langs) / len(names)
+    share = (1 / np.bincount(own))[own] * len(langs) / len(names)
     centre = np.average(mapped, axis=0, weights=share)
     middle = np.average(target, axis=0, weights=share)
     x, t = mapped - centre, target - middle
     solved = np.linalg.solve((x * share[:, None]).T @ x + RIDGE * len(langs) * np.eye(x.shape[1]) / 100, (x * share[:, None]).T @ t)
-    weights = (spectrum.T @ nystrom @ solved).astype(np.float32)
-    return LanguageModel(grams, names, weights, column, middle - centre @ solved)
+    per_mark = ((nystrom @ solved) / root[marks][:, None]).astype(np.float64)
+    weights = np.zeros((len(known) + 1, len(names)), np.float32)
+    for low in range(0, len(known), GRAM_BLOCK):
+        high = min(low + GRAM_BLOCK, len(known))
+        weights[low:high] = _dense([columns[i] for i in marks], low, high).T @ per_mark
+    return LanguageModel(Grams(), names, weights, column, middle - centre @ solved)
+
+
+def _gram_sets(rows: DataFrame) -> DataFrame:
+    """(_lang, _rank, _grams): the distinct n-grams of each text, found in the workers."""
+    fields = [T.StructField("_grams", T.ArrayType(T.IntegerType()))]
+
+    def run(texts):
+        grams = Grams()
+        return [[np.sort(grams.distinct(t)) for t in texts]]
+
+    return with_text_columns(rows, "_text", fields, run, ["_lang", "_rank"])
 
 
 def train_languages(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on at most ``max_rows`` ids of each language, outside the held-out quarter, lowest id hashes first.
 
     An id that repeats within a language teaches with one of its texts.  The
-    MAX_LANGUAGES languages with most ids are learned.  Counting them gives
-    each a hash threshold that lets about twice the wanted ids through, so that
-    only a bounded remainder is ordered, and only its texts are fetched.
+    MAX_LANGUAGES languages with most ids are learned; many languages share
+    TOTAL_ROWS, TOTAL_LANDMARKS and TOTAL_TRAIN_BYTES, so that rows, landmarks
+    and the longest text that teaches shrink, and the driver's memory does not
+    grow with their number.  Counting them gives each a hash threshold that lets
+    about twice the wanted ids through, so that only a bounded remainder is
+    ordered.  The driver gets n-gram numbers, no texts.  Of languages with equal
+    margins the first by name is predicted.
     """
     usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     usable = usable.filter(
         (split_remainder(F.col("_id"), 4) != 2) & F.col("_lang").isNotNull()
         & (F.octet_length("_text") <= MAX_TRAIN_BYTES) & F.col("_text").rlike(r"\p{L}")
-    ).withColumn("_hash", text_hash("_text"))
+    ).withColumn("_hash", text_hash("_text")).withColumn("_size", F.octet_length("_text"))
     span = 1 << 40
     order = F.pmod(F.xxhash64(F.lit(SEED), F.col("_id")), F.lit(span)).alias("_order")
-    one_each = usable.groupBy("_id", "_lang").agg(F.min("_hash").alias("_hash"))
-    narrow = materialize(one_each.select("_id", "_lang", "_hash", order), "language-ids")
+    one_each = usable.groupBy("_id", "_lang").agg(F.min(F.struct("_hash", "_size")).alias("_one"))
+    narrow = materialize(one_each.select("_id", "_lang", "_one.*", order), "language-ids")
+    n_langs = max(1, min(MAX_LANGUAGES, narrow.select("_lang").distinct().count()))
+    max_rows = min(max_rows, max(LEAST_ROWS, TOTAL_ROWS // n_langs))
+    marks = min(LANDMARKS, max(LEAST_LANDMARKS, TOTAL_LANDMARKS // n_langs))
+    narrow = narrow.filter(F.col("_size") <= min(MAX_TRAIN_BYTES, TOTAL_TRAIN_BYTES // (max_rows * n_langs)))
     per_lang = narrow.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES)
     limit = F.least(F.lit(1.0), F.lit(2.0 * max_rows + 50) / F.col("count")) * float(span)
     near = narrow.join(F.broadcast(per_lang.select("_lang", limit.alias("_limit"))), "_lang").filter("_order < _limit")
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "_id"))
     chosen = near.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows).select("_id", "_lang", "_hash", "_rank")
     met = usable.join(F.broadcast(chosen), ["_id", "_lang", "_hash"]).select("_lang", "_rank", "_text").distinct()
-    sample = met.orderBy("_lang", "_rank", "_text").toPandas().drop_duplicates(["_lang", "_rank"])
-    return fit_languages(sample["_text"].tolist(), sample["_lang"].tolist())
+    one = met.groupBy("_lang", "_rank").agg(F.min("_text").alias("_text"))
+    sample = _gram_sets(one).toPandas().sort_values(["_lang", "_rank"])
+    return fit_presence([np.asarray(g, dtype=np.int32) for g in sample["_grams"]], sample["_lang"].tolist(), marks)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -153,14 +153,68 @@ def test_training_takes_one_text_of_each_id(make_docs, monkeypatch):
     rows += [(3, "das haus am see", "en")] * 300 + [(3, "das haus am see", "de")] * 300
     rows += [(i, f"{words[i % 4]} by itself", "en") for i in range(1000, 1200)]
     taken = {}
-    monkeypatch.setattr(langid, "fit_languages", lambda texts, langs: taken.update(texts=texts, langs=langs))
+    grams = langid.Grams()
+    of_text = lambda t: tuple(sorted(grams.distinct(t)))
+    monkeypatch.setattr(langid, "fit_presence", lambda sets, langs, marks: taken.update(sets=[tuple(s) for s in sets], langs=langs))
     langid.train_languages(make_docs(rows), max_rows=100)
     assert taken["langs"].count("en") == 100 and taken["langs"].count("de") == 1
-    of_one = {t for i, t, _ in rows if i == 1}
-    assert sum(t in of_one for t in taken["texts"]) <= 1
-    first = taken["texts"]
+    of_one = {of_text(t) for i, t, _ in rows if i == 1}
+    assert sum(s in of_one for s in taken["sets"]) <= 1
+    first = taken["sets"]
     langid.train_languages(make_docs(rows[::-1]), max_rows=100)
-    assert taken["texts"] == first
+    assert taken["sets"] == first
     langid.train_languages(make_docs(rows), max_rows=1000)
     usable = {i for i in (1, *range(1000, 1200)) if zlib.crc32(str(i).encode()) % 4 != 2}
-    assert taken["langs"].count("en") == len(usable) + 1 and sum(t in of_one for t in taken["texts"]) == (1 in usable)
+    assert taken["langs"].count("en") == len(usable) + 1 and sum(s in of_one for s in taken["sets"]) == (1 in usable)
+
+
+def _many_languages(n, rows, seed=5):
+    """Texts of ``n`` invented languages, each with words of its own from three syllable sets in common use."""
+    import random
+
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñçøåабвгдежзиклмнопрсту"
+    out = []
+    for lang in range(n):
+        own = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 4))) for _ in range(40)]
+        for _ in range(rows):
+            out.append((f"l{lang:03d}", " ".join("".join(rng.choice(own) for _ in range(rng.randint(1, 3))) for _ in range(120))))
+    return out
+
+
+def test_many_languages_fit_in_bounded_memory():
+    import tracemalloc
+
+    rows = _many_languages(100, 16)
+    train, held = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
+    grams = langid.Grams()
+    sets = [grams.distinct(t) for _, t in train]
+    tracemalloc.start()
+    model = langid.fit_presence(sets, [g for g, _ in train], 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6, peak
+    names, _ = model.decide([t for _, t in held])
+    assert np.mean([a == b for a, (b, _) in zip(names, held, strict=True)]) > 0.97
+
+
+def test_bounds_are_shared_by_the_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOTAL_ROWS", 60)
+    monkeypatch.setattr(langid, "LEAST_ROWS", 2)
+    monkeypatch.setattr(langid, "TOTAL_LANDMARKS", 40)
+    monkeypatch.setattr(langid, "TOTAL_WEIGHTS", 20 * 3000)
+    kept = []
+    plain = langid.fit_presence
+    monkeypatch.setattr(langid, "fit_presence", lambda sets, langs, marks: kept.append((len(sets), marks)) or plain(sets, langs, marks))
+    rows = _many_languages(20, 30)
+    docs = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train_languages(docs)
+    assert kept == [(60, 2)] and len(model.languages) == 20 and model.weights.shape == (3001, 20)
+    found = langid.predict_languages(docs, model).select("lang", "lang_pred").collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.9
+
+
+def test_a_column_named_like_the_result_is_replaced(spark, model):
+    docs = spark.createDataFrame([(1, "the house and the king", "x", 5)], "doc_id long, text string, lang_pred string, score int")
+    rows = langid.predict_languages(docs, model).collect()
+    assert rows[0].lang_pred == "en" and 0 <= rows[0].score <= 1 and len(rows[0]) == 4
