@@ -12,8 +12,7 @@ from ledgermatch.sources import DatePartition, read_sources
 CASES = [
     (DatePartition("BY_DAY", "day"), "date", "to_date(TRANDATE)"),
     (DatePartition("BY_MONTH", "month", "%Y%m"), "int", "int(date_format(TRANDATE, 'yyyyMM'))"),
-    (DatePartition("BY_MONTH", "month", "%Y-%m"), "string", "date_format(TRANDATE, 'yyyy-MM')"),
-    (DatePartition("BY_YEAR", "year", "%Y"), "int", "year(TRANDATE)"),
+    (DatePartition("BY_YEAR", "year", "%Y"), "string", "string(year(TRANDATE))"),
 ]
 
 
