@@ -26,6 +26,8 @@ def test_files_before_the_floor_are_not_read(spark, sources, cfg, tmp_path, part
         paths[name] = str(tmp_path / name)
         df = invoices if name == "invoices" else getattr(sources, name)
         if name == "transactions":
+            if partition.unit == "day":  # one file a day: some weeks will do
+                df = df.filter(F.abs(F.datediff("TRANDATE", F.lit(middle))) < 40)
             df.withColumn(partition.column, F.expr(value)).repartition(1).write.partitionBy(partition.column).parquet(paths[name])
         else:
             df.write.parquet(paths[name])
@@ -44,7 +46,7 @@ def test_files_before_the_floor_are_not_read(spark, sources, cfg, tmp_path, part
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     filters = plan[plan.find("PartitionFilters") : plan.find("PushedFilters")]
     assert f"({partition.column}#" in filters and ">=" in filters, filters
-    if partition.unit == "day":
+    if partition.unit == "month":
         report = run_match(src, cfg).report
         other = run_match(plain, cfg).report
         assert report.exceptAll(other).count() == 0 and other.exceptAll(report).count() == 0
