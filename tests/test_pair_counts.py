@@ -85,3 +85,15 @@ def test_no_pair_is_made(sources, cfg):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     # Both large joins go by a long key alone.
     assert plan.count("BroadcastHashJoin [_key#") >= 1 and plan.count("BroadcastHashJoin [_part_key#") >= 1
+
+
+def test_candidate_pairs_are_listed(spark):
+    """The key lists the pairs, one row each, instead of a number per transaction."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    pairs = entry.queries()["candidate_pairs"](spark, sf)
+    assert pairs.columns == ["TranID", "TXTINVOICE", "FUND", "FoapalLineID"]
+    scored = entry.queries()["score_pairs"](spark, sf).select(*pairs.columns)
+    assert sorted(map(repr, pairs.collect())) == sorted(map(repr, scored.collect())) != []
+    assert entry.oracle_sql()["candidate_pairs"].endswith("SELECT TranID, TXTINVOICE, FUND, FoapalLineID FROM scored")
