@@ -7,8 +7,9 @@ logistic output.  The raw probability is mapped, per language guessed from the
 text's function words, so that the threshold that separates best there comes
 out as THRESHOLD; the ``lang`` column is never read.
 
-Training takes a bounded, hash-ordered sample of labelled documents to the
-driver.  For scoring, embedding and filters are multiplied out once, so a word
+Training uses every labelled document outside the held-out third: parts of
+them train at the same time and their moves are averaged, round by round.  A
+caller may ask for a bounded sample instead.  For scoring, embedding and filters are multiplied out once, so a word
 costs two table rows.
 """
 
@@ -19,15 +20,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, split_remainder, text_hash, utf8, with_text_columns, word_blocks
+from .common import map_arrow, materialize, split_remainder, text_hash, utf8, with_text_columns, word_blocks
 
-#: Labelled documents of each class that the model is fitted on, at most, and the longest of them in words.
-MAX_TRAIN_ROWS = 3000
+#: Words of the longest document of a bounded sample (``max_rows``).
 MAX_TRAIN_WORDS = 4000
+#: Folds and rounds of the training on all labelled documents; words of a part, steps it takes in a round,
+#: documents of a step, passes at most; floats that are averaged in one group.
+FOLDS_OF_ALL = 2
+ROUNDS = 2
+TASK_WORDS = 1 << 21
+PART_STEPS = 150
+PART_BATCH = 16
+MAX_PASSES = 8
+BLOCK = 1 << 13
+#: Labelled ids (with label, hash and size: narrow rows) that are broadcast to the texts, at most.
+BROADCAST_IDS = 2_000_000
 #: Score at which a document counts as toxic; languages are calibrated to it.
 THRESHOLD = 0.7
 #: Parts of the sample that are scored by a model of the others, and the weight of the pooled cut in rows.
@@ -184,23 +196,29 @@ class ToxicityModel:
         return np.clip(np.where(raw < cut, low, high), 0, 1)
 
 
-def fit_cnn(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, min_steps: int = 300, batch: int = 64, rate: float = 0.05, seed: int = 3) -> ToxicityModel:
-    """Adagrad on the logistic loss; the gradient reaches the words of each filter's best window.
+def bucket_counts(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """(table, label, row): documents of the label in which the row of the table occurs."""
+    counts = np.zeros((2, 2, BUCKETS + 1))
+    for ids, label in zip(docs, y, strict=True):
+        for t, shift in enumerate((0, 16)):
+            counts[t, int(label), np.unique((ids >> shift) & 0xFFFF)] += 1
+    return counts
+
+
+def start_model(counts: np.ndarray, sizes: np.ndarray, rng) -> ToxicityModel:
+    """The model before training; ``sizes`` are the documents of either label.
 
     The first embedding dimension starts at the bucket's smoothed log-odds of
-    occurring in toxic documents, the others at small noise.
+    occurring in toxic documents, the others at small noise.  With one label
+    only, the model is that label's share.
     """
-    rng = np.random.default_rng(seed)
     model_rows = BUCKETS + 1
 
-    def table(shift):
-        counts = np.zeros((2, model_rows))
-        for ids, label in zip(docs, y, strict=True):
-            counts[int(label), np.unique((ids >> shift) & 0xFFFF)] += 1
-        share = (counts + 2) / (np.array([[max(1, (y == 0).sum())], [max(1, (y == 1).sum())]]) + 4)
+    def table(count):
+        share = (count + 2) / (np.maximum(sizes, 1)[:, None] + 4)
         t = rng.normal(0, 0.05, (model_rows, DIM)).astype(np.float32)
         t[:, 0] = np.clip(np.log(share[1] / share[0]), -2, 4) / 2
-        t[counts.sum(axis=0) == 0] = 0
+        t[count.sum(axis=0) == 0] = 0
         t[-1] = 0
         return t
 
@@ -208,57 +226,83 @@ def fit_cnn(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, min_steps: i
     filters = rng.normal(0, 0.3, (2 * DIM, len(_COLUMNS) * FILTERS)).astype(np.float32)
     scale = np.repeat([1 / w for w, _ in _COLUMNS], FILTERS)
     filters[[0, DIM]] = np.abs(filters[[0, DIM]]) * scale + 0.2 * scale
-    m = ToxicityModel(table(0), table(16), filters, np.full(n_out, -0.2, np.float32), np.full(n_out, 0.2, np.float32), -1.0)
-    if not len(docs) or y.min() == y.max():
+    m = ToxicityModel(table(counts[0]), table(counts[1]), filters, np.full(n_out, -0.2, np.float32), np.full(n_out, 0.2, np.float32), -1.0)
+    if not sizes.all():
         m.out[:] = 0
-        m.base = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))) if len(docs) else 0.0
-        return m
-    seen = {k: np.full_like(v, 1e-2) for k, v in (("w", m.words), ("h", m.heads), ("f", m.filters), ("b", m.bias), ("o", m.out))}
-    seen["base"] = 1e-2
-    per_epoch = -(-len(docs) // batch)
-    extra = max(WIDTHS) - 1
-    for _ in range(max(epochs, -(-min_steps // per_epoch))):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(docs), batch):
-            some = order[at : at + batch]
-            lengths = np.array([max(1, len(docs[d])) for d in some])
-            parts = [np.r_[docs[d], np.full(extra + n - len(docs[d]), -1, dtype=np.int64)] for d, n in zip(some, lengths, strict=True)]
-            _, start, lengths, ids = _batch(some, lengths, parts, extra)
-            i, j = _rows(ids)
-            x = np.concatenate([m.words[i], m.heads[j]], axis=1)
-            z = _windows(x @ m.filters)
-            spot = np.stack([s + z[s : s + n].argmax(axis=0) for s, n in zip(start, lengths, strict=True)])
-            top = np.take_along_axis(z, spot, axis=0)
-            hidden = np.maximum(top + m.bias, 0)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ m.out + m.base, -30, 30)))
-            err = ((p - y[some]) / len(some)).astype(np.float32)
-            g_out = hidden.T @ err
-            g_hidden = err[:, None] * m.out[None, :] * (hidden > 0)
-            g_filters = np.zeros_like(m.filters)
-            g_x: dict[str, list] = {"at": [], "g": []}
-            col = 0
-            for k, w in enumerate(WIDTHS):
-                gh, place = g_hidden[:, k * FILTERS : (k + 1) * FILTERS], spot[:, k * FILTERS : (k + 1) * FILTERS]
-                for off in range(w):
-                    cols = slice(col, col + FILTERS)
-                    word = place + off
-                    g_filters[:, cols] += np.einsum("dfe,df->ef", x[word], gh)
-                    g_x["at"].append(word.ravel())
-                    g_x["g"].append((gh[:, :, None] * m.filters[:, cols].T[None]).reshape(-1, 2 * DIM))
-                    col += FILTERS
-            spots, g = np.concatenate(g_x["at"]), np.concatenate(g_x["g"])
-            for key, tab, rows, part in (("w", m.words, i[spots], g[:, :DIM]), ("h", m.heads, j[spots], g[:, DIM:])):
-                uniq, inv = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(uniq), DIM), dtype=np.float32)
-                np.add.at(total, inv, part)
-                total[uniq == BUCKETS] = 0
-                seen[key][uniq] += total**2
-                tab[uniq] -= rate * total / np.sqrt(seen[key][uniq])
-            for key, par, grad in (("f", m.filters, g_filters), ("b", m.bias, g_hidden.sum(axis=0)), ("o", m.out, g_out)):
-                seen[key] += grad**2
-                par -= rate * grad / np.sqrt(seen[key])
-            seen["base"] += float(err.sum()) ** 2
-            m.base -= rate * float(err.sum()) / seen["base"] ** 0.5
+        m.base = float(np.log((sizes[1] + 1) / (sizes[0] + 1))) if sizes.any() else 0.0
+    return m
+
+
+def start_memory(m: ToxicityModel) -> dict:
+    """Adagrad's sums of squares."""
+    return {k: np.full_like(v, 1e-2) for k, v in (("w", m.words), ("h", m.heads), ("f", m.filters), ("b", m.bias), ("o", m.out))} | {"base": 1e-2}
+
+
+def _best_windows(m: ToxicityModel, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each whole document and filter the maximum and the ids of the words of its window, piece by piece."""
+    n_out, reach = len(WIDTHS) * FILTERS, np.arange(max(WIDTHS))
+    top = np.full((len(docs), n_out), -np.inf, dtype=np.float32)
+    words = np.full((len(docs), n_out, len(reach)), -1, dtype=np.int64)
+    for owner, start, lengths, ids in _pieces(docs):
+        i, j = _rows(ids)
+        z = _windows(np.concatenate([m.words[i], m.heads[j]], axis=1) @ m.filters)
+        for d, s, n in zip(owner, start, lengths, strict=True):
+            at = z[s : s + n].argmax(axis=0) + s
+            best = z[at, np.arange(n_out)]
+            better = best > top[d]
+            top[d, better] = best[better]
+            words[d, better] = ids[at[better][:, None] + reach]
+    return top, words
+
+
+def train_pass(m: ToxicityModel, seen: dict, docs: list[np.ndarray], y: np.ndarray, order: np.ndarray, batch: int, rate: float = 0.05) -> None:
+    """One pass of Adagrad over whole documents; the gradient reaches the words of each filter's best window."""
+    for at in range(0, len(docs), batch):
+        some = order[at : at + batch]
+        top, words = _best_windows(m, [docs[d] for d in some])
+        hidden = np.maximum(top + m.bias, 0)
+        p = 1 / (1 + np.exp(-np.clip(hidden @ m.out + m.base, -30, 30)))
+        err = ((p - y[some]) / len(some)).astype(np.float32)
+        g_out = hidden.T @ err
+        g_hidden = err[:, None] * m.out[None, :] * (hidden > 0)
+        g_filters = np.zeros_like(m.filters)
+        spots, grads, col = [], [], 0
+        for k, w in enumerate(WIDTHS):
+            own = slice(k * FILTERS, (k + 1) * FILTERS)
+            gh = g_hidden[:, own]
+            for off in range(w):
+                cols = slice(col, col + FILTERS)
+                word = words[:, own, off]
+                i, j = _rows(word)
+                g_filters[:, cols] += np.einsum("dfe,df->ef", np.concatenate([m.words[i], m.heads[j]], axis=2), gh)
+                spots.append(word.ravel())
+                grads.append((gh[:, :, None] * m.filters[:, cols].T[None]).reshape(-1, 2 * DIM))
+                col += FILTERS
+        i, j = _rows(np.concatenate(spots))
+        g = np.concatenate(grads)
+        for key, tab, rows, part in (("w", m.words, i, g[:, :DIM]), ("h", m.heads, j, g[:, DIM:])):
+            uniq, inv = np.unique(rows, return_inverse=True)
+            total = np.zeros((len(uniq), DIM), dtype=np.float32)
+            np.add.at(total, inv, part)
+            total[uniq == BUCKETS] = 0
+            seen[key][uniq] += total**2
+            tab[uniq] -= rate * total / np.sqrt(seen[key][uniq])
+        for key, par, grad in (("f", m.filters, g_filters), ("b", m.bias, g_hidden.sum(axis=0)), ("o", m.out, g_out)):
+            seen[key] += grad**2
+            par -= rate * grad / np.sqrt(seen[key])
+        seen["base"] += float(err.sum()) ** 2
+        m.base -= rate * float(err.sum()) / seen["base"] ** 0.5
+
+
+def fit_cnn(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, min_steps: int = 300, batch: int = 64, rate: float = 0.05, seed: int = 3) -> ToxicityModel:
+    """Fit on documents in memory."""
+    rng = np.random.default_rng(seed)
+    sizes = np.array([(y == 0).sum(), (y == 1).sum()])
+    m = start_model(bucket_counts(docs, y), sizes, rng)
+    if sizes.all():
+        seen = start_memory(m)
+        for _ in range(max(epochs, -(-min_steps // -(-len(docs) // batch)))):
+            train_pass(m, seen, docs, y, rng.permutation(len(docs)), batch, rate)
     return m
 
 
@@ -283,8 +327,12 @@ def _quotas(counts: dict[int, int], rows: int) -> dict[int, int]:
     return {k: even[k] + ((n - even[k]) * min(left, more) // more if more else 0) for k, n in counts.items()}
 
 
-def language_cuts(raw: np.ndarray, y: np.ndarray, weight: np.ndarray, language: np.ndarray) -> np.ndarray:
-    """The best cut of each language, in logits drawn to the pooled one as much as PRIOR_ROWS of the rarer class would."""
+def language_cuts(raw: np.ndarray, y: np.ndarray, weight: np.ndarray, language: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """The best cut of each language, in logits drawn to the pooled one as much as PRIOR_ROWS of the rarer class would.
+
+    ``rows``: documents that an entry stands for (one each).
+    """
+    rows = np.ones(len(y)) if rows is None else rows
 
     def logit(p):
         return np.log(p / (1 - p))
@@ -293,21 +341,198 @@ def language_cuts(raw: np.ndarray, y: np.ndarray, weight: np.ndarray, language:
     cuts = np.full(len(LANGUAGES), pooled)
     for k in range(len(LANGUAGES)):
         own = language == k
-        n = min((y[own] == 1).sum(), (y[own] == 0).sum())
+        n = min(rows[own & (y == 1)].sum(), rows[own & (y == 0)].sum())
         if n:
             mean = (n * logit(best_cut(raw[own], y[own], weight[own])) + PRIOR_ROWS * logit(pooled)) / (n + PRIOR_ROWS)
             cuts[k] = 1 / (1 + np.exp(-mean))
     return cuts
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def _flat(m: ToxicityModel, seen: dict) -> np.ndarray:
+    parts = [m.words, m.heads, m.filters, m.bias, m.out, m.base, *[seen[k] for k in ("w", "h", "f", "b", "o", "base")]]
+    return np.concatenate([np.ravel(p) for p in parts]).astype(np.float32)
+
+
+def _unflat(flat: np.ndarray) -> tuple[ToxicityModel, dict]:
+    n_out, row = len(WIDTHS) * FILTERS, (BUCKETS + 1, DIM)
+    shapes = [row, row, (2 * DIM, len(_COLUMNS) * FILTERS), (n_out,), (n_out,), (1,)] * 2
+    ends = np.cumsum([np.prod(s) for s in shapes])[:-1]
+    parts = [p.reshape(s).copy() for p, s in zip(np.split(flat, ends), shapes, strict=True)]
+    seen = dict(zip(("w", "h", "f", "b", "o"), parts[6:11], strict=True)) | {"base": float(parts[11][0])}
+    return ToxicityModel(*parts[:5], float(parts[5][0])), seen
+
+
+def _parts(batches) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(fold, documents, labels, languages) of each part of a written table in order; a repeated id counts once."""
+
+    def done():
+        return key[0], docs, np.array(y, dtype=float), np.array(langs, dtype=int)
+
+    key, last, docs, y, langs = None, None, [], [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if (r["_fold"], r["_part"]) != key:
+                if docs:
+                    yield done()
+                key, last, docs, y, langs = (r["_fold"], r["_part"]), None, [], [], []
+            if r["_id"] != last:
+                docs.append(np.frombuffer(r["_words"], dtype=np.uint32).astype(np.int64))
+                y.append(r["_label"])
+                langs.append(r["_lang"])
+            last = r["_id"]
+    if docs:
+        yield done()
+
+
+def _labelled_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All usable labelled ids with the words of one whole text each, written in parts of about TASK_WORDS words.
+
+    A part holds documents of one fold; a row that repeats id and text follows its like.
+    """
+    usable = labels.filter((split_remainder(F.col("doc_id"), 3) != 1) & F.col("toxic").isNotNull())
+    usable = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_label"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(split_remainder(F.col("_id"), 3) != 1)
+    texts = texts.withColumn("_hash", text_hash("_text"))
+    size = F.coalesce(F.octet_length("_text"), F.lit(0))
+    usable = materialize(usable, "toxicity-labels")
+
+    def near(ids):
+        """Up to BROADCAST_IDS ids go to the texts; more are joined by a shuffle."""
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    one = texts.select("_id", "_hash", size.alias("_size")).join(near(usable), "_id")
+    one = materialize(one.groupBy("_id", "_label").agg(F.min("_hash").alias("_hash"), F.max("_size").alias("_size")), "toxicity-ids")
+    total = one.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // (6 * FOLDS_OF_ALL * TASK_WORDS)))
+
+    def words(batch):
+        ids = [word_ids(t) for t in batch]
+        return [[(w & 0xFFFFFFFF).astype(np.uint32).tobytes() for w in ids], [guess_language(w) for w in ids]]
+
+    fields = [T.StructField("_words", T.BinaryType()), T.StructField("_lang", T.IntegerType())]
+    rows = with_text_columns(texts.join(near(one), ["_id", "_hash"]), "_text", fields, words, ["_id", "_label"])
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(SEED), F.col("_id")), F.lit(FOLDS_OF_ALL)).cast("int"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("_id")), F.lit(parts)).cast("int"))
+    rows = rows.repartition(FOLDS_OF_ALL * parts, "_fold", "_part").sortWithinPartitions("_fold", "_part", "_id")
+    return materialize(rows, "toxicity-words")
+
+
+def _all_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``bucket_counts`` and documents per label of each fold, added up on the cluster: one row per bucket."""
+    names = [f"n{i}" for i in range(FOLDS_OF_ALL * 4)]
+
+    def count(batches):
+        met = np.zeros((FOLDS_OF_ALL, 2, 2, BUCKETS + 2))
+        for fold, docs, y, _ in _parts(batches):
+            met[fold, :, :, :-1] += bucket_counts(docs, y)
+            met[fold, :, :, -1] += [[(y == 0).sum(), (y == 1).sum()]] * 2
+        flat = met.reshape(-1, BUCKETS + 2).astype(np.int64)
+        used = np.flatnonzero(flat.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(n[used]) for n in flat]], names=["bucket", *names])
+
+    got = map_arrow(rows, count, "bucket long, " + ", ".join(f"{n} long" for n in names))
+    got = got.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    met = np.zeros((FOLDS_OF_ALL * 4, BUCKETS + 2))
+    met[:, got["bucket"].to_numpy(int)] = got[names].to_numpy(float).T
+    met = met.reshape(FOLDS_OF_ALL, 2, 2, BUCKETS + 2)
+    return met[..., :-1], met[:, 0, :, -1]
+
+
+def _train_round(rows: DataFrame, models: dict[int, np.ndarray], of_fold: dict[int, int], seed: int) -> dict[int, np.ndarray]:
+    """Every part trains the model of its fold over all its documents; a weight moves by the mean of the parts that moved it."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for fold, docs, y, _ in _parts(batches):
+            if fold not in of_fold:
+                continue
+            before = shared.value[of_fold[fold]]
+            m, seen = _unflat(before)
+            rng = np.random.default_rng(seed)
+            passes = min(MAX_PASSES, -(-PART_STEPS // -(-len(docs) // PART_BATCH)))
+            for _ in range(passes):
+                train_pass(m, seen, docs, y, rng.permutation(len(docs)), PART_BATCH)
+            moved = _flat(m, seen) - before
+            blocks = [moved[at : at + BLOCK] for at in range(0, len(moved), BLOCK)]
+            number = pa.array(range(len(blocks)), type=pa.int32())
+            model = pa.array([of_fold[fold]] * len(blocks), type=pa.int32())
+            yield pa.RecordBatch.from_arrays([model, number, pa.array([b.tobytes() for b in blocks])], names=["model", "block", "moved"])
+
+    def mean(part):
+        total, parts = 0.0, 0
+        for data in part["moved"]:
+            one = np.frombuffer(data, dtype=np.float32)
+            total, parts = total + one.astype(np.float64), parts + (one != 0)
+        part = part[["model", "block"]].iloc[:1].copy()
+        part["moved"] = [(total / np.maximum(parts, 1)).astype(np.float32).tobytes()]
+        return part
+
+    form = "model int, block int, moved binary"
+    out = {k: v.copy() for k, v in models.items()}
+    for r in map_arrow(rows, run, form).groupBy("model", "block").applyInPandas(mean, form).toLocalIterator():
+        moved = np.frombuffer(r["moved"], dtype=np.float32)
+        out[r["model"]][r["block"] * BLOCK : r["block"] * BLOCK + len(moved)] += moved
+    shared.unpersist()
+    return out
+
+
+def _out_of_fold(rows: DataFrame, models: dict[int, ToxicityModel]):
+    """Documents per label, language and probability (in steps of a 128th of a logit), from the other folds' models."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for fold, docs, y, langs in _parts(batches):
+            if fold in shared.value:
+                raw = np.clip(shared.value[fold].raw(docs), 1e-12, 1 - 1e-12)
+                step = np.rint(np.log(raw / (1 - raw)) * 128).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(langs.astype(np.int32)), pa.array(step)], names=["y", "lang", "step"])
+
+    return map_arrow(rows, run, "y int, lang int, step int").groupBy("y", "lang", "step").count().orderBy("y", "lang", "step").toPandas()
+
+
+def train_all(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """Fit on every labelled document outside the held-out third, on the cluster.
+
+    The counts come from all of them.  A model per fold is trained in rounds:
+    the parts train at the same time, each over its whole documents, and their
+    moves are averaged.  The cuts come from the scores that each document gets
+    from the other fold's model.  The mean of both goes on for a round over all.
+    """
+    rows = _labelled_words(docs, labels, id_col, text_col)
+    counts, sizes = _all_counts(rows)
+    trained = [f for f in range(FOLDS_OF_ALL) if sizes[f].all()]
+    models = {}
+    for f in trained:
+        m = start_model(counts[f], sizes[f], np.random.default_rng(3))
+        models[f] = _flat(m, start_memory(m))
+    for r in range(ROUNDS if models else 0):
+        models = _train_round(rows, models, {f: f for f in models}, 3 + r)
+    if models:
+        final = {0: np.mean(list(models.values()), axis=0, dtype=np.float32)}
+    else:
+        m = start_model(counts.sum(axis=0), sizes.sum(axis=0), np.random.default_rng(3))
+        final = {0: _flat(m, start_memory(m))}
+    if sizes.sum(axis=0).all():
+        final = _train_round(rows, final, dict.fromkeys(range(FOLDS_OF_ALL), 0), 3 + ROUNDS)
+    model = _unflat(final[0])[0]
+    if models:
+        met = _out_of_fold(rows, {(f + 1) % FOLDS_OF_ALL: _unflat(v)[0] for f, v in models.items()})
+        raw, n = 1 / (1 + np.exp(-met["step"].to_numpy(float) / 128)), met["count"].to_numpy(float)
+        model.cuts = language_cuts(raw, met["y"].to_numpy(float), n, met["lang"].to_numpy(int), n)
+    return model
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on labelled documents outside the held-out third; cuts per language from out-of-fold scores of all of them.
 
-    At most ``max_rows`` ids of each class, dealt by guessed language, lowest id
+    All of them by default, on the cluster (``train_all``).  With ``max_rows``
+    on the driver: at most ``max_rows`` ids of each class, dealt by guessed language, lowest id
     hashes first; a repeated id counts once, with one of its texts.  Languages
     are guessed for about CANDIDATES times as many ids of each class, those with
     the lowest hashes, so only their texts are read by Python here.
     """
+    if max_rows is None:
+        return train_all(docs, labels, id_col, text_col)
     usable = labels.filter((split_remainder(F.col("doc_id"), 3) != 1) & F.col("toxic").isNotNull())
     usable = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_label"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(split_remainder(F.col("_id"), 3) != 1)

@@ -135,3 +135,22 @@ def test_sample_is_one_text_an_id_and_has_rare_languages(spark, make_docs, monke
     spanish = [i for i in range(2000, 2009) if zlib.crc32(str(i).encode()) % 3 != 1]
     assert sum(cnn.guess_language(d) == 4 for d in docs) == len(spanish)
     assert sum(len(d) == 4 for d in docs) <= 1
+
+
+def test_all_labelled_documents_are_learned_from(spark, make_docs, monkeypatch):
+    """More of a class than a bounded sample had, a repeated id, a longer text: all in the counts, in several parts."""
+    rows = [(i, f"plain words {i % 50}" + (" foulword" if i % 10 == 0 else "")) for i in range(5200)]
+    rows += [(0, "another text"), (6000, "x " * 5000 + "foulword")]
+    labels = spark.createDataFrame([(i, 0, int(i % 10 == 0)) for i in [*range(5200), 6000]], "doc_id long, quality int, toxic int")
+    usable = [i for i in [*range(5200), 6000] if zlib.crc32(str(i).encode()) % 3 != 1]
+    sizes = []
+    start = cnn.start_model
+    monkeypatch.setattr(cnn, "start_model", lambda counts, n, rng: sizes.append(n) or start(counts, n, rng))
+    monkeypatch.setattr(cnn, "TASK_WORDS", 4000)
+    model = cnn.train_toxicity(make_docs(rows), labels)
+    toxic = sum(i % 10 == 0 for i in usable)
+    assert len(sizes) == 2 and sum(sizes).tolist() == [len(usable) - toxic, toxic] and len(usable) - toxic > 3000
+    texts = ["plain words 7", "plain words 7 foulword", "x " * 50_000 + "foulword", ""]
+    ids = [cnn.word_ids(t) for t in texts]
+    score = model.calibrate(model.raw(ids), np.array([cnn.guess_language(w) for w in ids], dtype=int))
+    assert (score >= cnn.THRESHOLD).tolist() == [False, True, True, False]
