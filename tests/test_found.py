@@ -1,0 +1,85 @@
+"""Many pairs, kept as numbers, and open lines whose keys meet the ledger block by block: the same results."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgermatch.operators import candidate_pairs
+from ledgermatch.operators.open_side import survey_open_lines
+from ledgermatch.operators.scoring import PAIR_KEY, scored_at_threshold
+from ledgermatch.operators.transactions import select_transactions
+from ledgermatch.plans.incremental import advance, finish, start
+from ledgermatch.plans.pipeline import build_open_lines, pair_input, run_match
+
+STEPS = ("scored", "matched", "ranked", "offsets", "annotated", "report", "positioned")
+
+
+def same(a, b):
+    return a.columns == b.columns and a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize(("threshold", "broadcast"), [(7, 2_000_000), (3, 2_000_000), (7, 0)])
+def test_numbers_give_the_rows_of_the_whole(sources, cfg, threshold, broadcast):
+    c = cfg.with_(threshold=threshold, broadcast_max_rows=broadcast)
+    wide, narrow = run_match(sources, c), run_match(sources, c.with_(wide_max_pairs=0))
+    assert wide.found is None and narrow.found is not None
+    for step in STEPS:
+        assert same(getattr(wide, step), getattr(narrow, step)), step
+    assert narrow.scored.dtypes == wide.scored.dtypes and narrow.positioned.dtypes == wide.positioned.dtypes
+
+
+def test_whole_rows_are_not_exchanged(sources, cfg):
+    """What is sorted by transaction is numbers: names of customers join behind the exchange."""
+    matched = run_match(sources, cfg.with_(wide_max_pairs=0)).matched
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    exchanged = plan[plan.index("RepartitionByExpression"):]
+    assert "_line" in exchanged and "TXTCUSTOMERNAME" not in exchanged.split("Relation")[0]
+
+
+def test_what_is_not_asked_for_is_not_computed(spark, sources, cfg):
+    run = run_match(sources, cfg)
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        run.matched, run.ranked, run.offsets  # noqa: B018
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_repeated_ids_are_refused_by_their_numbers(sources, cfg):
+    from dataclasses import replace
+
+    c = cfg.with_(wide_max_pairs=0)
+    ids = run_match(sources, c).scored.select("TranID").limit(1)
+    row = sources.transactions.join(ids, "TranID", "left_semi").select(*sources.transactions.columns)
+    for again in (row, row.withColumn("DOCUMENT", F.lit("other"))):
+        twice = replace(sources, transactions=sources.transactions.unionByName(again))
+        with pytest.raises(ValueError, match="not unique"):
+            run_match(twice, c)
+        a, b = run_match(twice, c, check_ids=False), run_match(twice, cfg, check_ids=False)
+        assert same(a.scored, b.scored) and a.positioned.count() == b.positioned.count() > 0
+
+
+def test_blocks_one_by_one_give_the_same_pairs(sources, cfg):
+    lines = build_open_lines(sources, cfg)
+    side = survey_open_lines(lines, cfg)
+    tx = pair_input(select_transactions(sources.transactions, lines, cfg, side), lines, cfg, side=side)
+    got = []
+    for rows in (cfg.broadcast_max_rows, 5 * side.rows):  # four amounts of each line fit, all its keys do not
+        c = cfg.with_(broadcast_max_rows=rows)
+        pairs = candidate_pairs(tx, lines, c)
+        assert (pairs._jdf.queryExecution().optimizedPlan().toString().count("Union") > 0) == (rows == 5 * side.rows)
+        got.append(scored_at_threshold(pairs, lines, c).select(*PAIR_KEY, "InvLineScore", "FOAPALmatches", "AmtMatch", "InvNumMatch"))
+    assert got[0].count() == 178 and same(*got)
+
+
+def test_many_pairs_through_change_sets(sources, cfg):
+    c = cfg.with_(wide_max_pairs=0)
+    ledger = sources.transactions
+    part = F.pmod(F.xxhash64("TranID"), F.lit(2))
+    closed = F.when(F.crc32("TXTINVOICE") % 2 == 0, F.lit(0)).otherwise(F.col("BLNPOSTED")).cast("int")
+    from dataclasses import replace
+
+    seen = ledger.filter(part == 0)
+    state = start(replace(sources, invoices=sources.invoices.withColumn("BLNPOSTED", closed), transactions=seen), c)
+    state = advance(state, replace(sources, transactions=seen), ledger.filter(part == 1), c)
+    assert same(finish(state, ledger, c).positioned, run_match(sources, cfg).positioned)
