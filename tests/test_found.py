@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.operators import candidate_pairs
+from ledgermatch.operators.candidates import BlockPlan, blocks_at_once, choose_blocks
 from ledgermatch.operators.open_side import survey_open_lines
 from ledgermatch.operators.scoring import PAIR_KEY, scored_at_threshold
 from ledgermatch.operators.transactions import select_transactions
@@ -83,3 +84,25 @@ def test_many_pairs_through_change_sets(sources, cfg):
     state = start(replace(sources, invoices=sources.invoices.withColumn("BLNPOSTED", closed), transactions=seen), c)
     state = advance(state, replace(sources, transactions=seen), ledger.filter(part == 1), c)
     assert same(finish(state, ledger, c).positioned, run_match(sources, cfg).positioned)
+
+
+def test_blocks_meet_the_ledger_in_lots(sources, cfg):
+    """Each lot reads the transactions once; before, each block did."""
+    lines = build_open_lines(sources, cfg)
+    side = survey_open_lines(lines, cfg)
+    plan = BlockPlan((("FUND",), ("ORGN",), ("ACCT",), ("PROG",), ("ACCI",)), False)
+    assert blocks_at_once(plan, side, lambda keys: keys <= 4) == [(0,), (1, 2, 3, 4), (5, 6)]
+    assert blocks_at_once(plan, side, lambda keys: keys <= 5) == [(0, 1), (2, 3, 4, 5, 6)]
+    assert [b for lot in blocks_at_once(plan, side, lambda keys: keys <= 6) for b in lot] == list(range(plan.n_blocks))
+    tx = pair_input(select_transactions(sources.transactions, lines, cfg, side), lines, cfg, side=side)
+    pairs = candidate_pairs(tx, lines, cfg.with_(broadcast_max_rows=5 * side.rows), plan)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("[_slot#") == 2
+    whole = candidate_pairs(tx, lines, cfg, plan)
+    assert same(pairs.select("TranID", "_line"), whole.select("TranID", "_line"))
+
+
+def test_groups_that_no_line_has_are_left_out(sources, cfg):
+    lines = build_open_lines(sources, cfg)
+    bare = lines.withColumn("ACTV", F.lit(None).cast("string"))
+    assert not any("ACTV" in g for g in choose_blocks(bare, cfg).code_groups)
+    assert choose_blocks(lines, cfg).code_groups
