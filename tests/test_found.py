@@ -106,3 +106,11 @@ def test_groups_that_no_line_has_are_left_out(sources, cfg):
     bare = lines.withColumn("ACTV", F.lit(None).cast("string"))
     assert not any("ACTV" in g for g in choose_blocks(bare, cfg).code_groups)
     assert choose_blocks(lines, cfg).code_groups
+
+
+def test_ranks_share_their_sorts(spark, sources, cfg):
+    """Two sorts by transaction for the score of the invoice and all three ranks."""
+    ranked = run_match(sources, cfg.with_(wide_max_pairs=0)).ranked
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    sorts = [row for row in plan.split("== Initial Plan ==")[-1].splitlines() if "Sort [_key" in row]
+    assert len(sorts) == 2, plan
