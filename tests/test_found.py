@@ -145,3 +145,19 @@ def test_lines_of_the_same_codes_are_met_once(spark, cfg):
     assert keys.where(F.col("_blk") >= 2).count() == len(plan.code_groups)
     # The transaction is too old for the second line, which shares its key with the first.
     assert [r.TXTINVOICE for r in run_match(s, c).scored.collect()] == ["FI00123"]
+
+
+def test_what_is_exchanged_is_narrow_and_in_small_parts(sources, cfg, monkeypatch):
+    """The invoice of a line is looked up behind the exchange, whose parts grow with the pairs."""
+    from ledgermatch.operators import found
+
+    c = cfg.with_(wide_max_pairs=0)
+    whole = run_match(sources, c).ranked
+    monkeypatch.setattr(found, "SORTED_ROWS", 10)
+    narrow = run_match(sources, c).ranked
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    row = next(r for r in plan.splitlines() if "RepartitionByExpression [_key" in r)
+    assert row.rstrip().endswith("], 18")  # 178 pairs
+    below = plan.splitlines()[plan.splitlines().index(row) + 1]
+    assert "_place" in below and "_inv#" not in below and "_lid" not in below
+    assert same(whole, narrow)
